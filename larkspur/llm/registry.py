@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from larkspur.llm import substring_dedup
+from larkspur.llm import substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_debruijn_dedup": substring_dedup.op1_debruijn_dedup,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
 }
 
 ORACLE_SQL = {
