@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from larkspur.llm import substring_dedup, suffix_dedup
+from larkspur.llm import quality, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_debruijn_dedup": substring_dedup.op1_debruijn_dedup,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
+    "op3_line_quality": quality.op3_line_quality,
 }
 
 ORACLE_SQL = {
     "op1_debruijn_dedup": substring_dedup.SQL,
+    "op3_line_quality": quality.SQL,
 }
