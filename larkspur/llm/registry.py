@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from larkspur.llm import mixing, quality, sharding, substring_dedup, suffix_dedup
+from larkspur.llm import mixing, near_dedup, quality, sharding, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_debruijn_dedup": substring_dedup.op1_debruijn_dedup,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_line_quality": quality.op3_line_quality,
     "op4_curriculum_mix": mixing.op4_curriculum_mix,
+    "op5_bottom_k_near": near_dedup.op5_bottom_k_near,
     "op9_hash_tree_shards": sharding.op9_hash_tree_shards,
 }
 
@@ -16,4 +17,5 @@ ORACLE_SQL = {
     "op1_debruijn_dedup": substring_dedup.SQL,
     "op3_line_quality": quality.SQL,
     "op4_curriculum_mix": mixing.SQL,
+    "op5_bottom_k_near": near_dedup.SQL,
 }
