@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.llm import bpe, mixing, near_dedup, quality, sharding, substring_dedup, suffix_dedup
+from larkspur.llm import bpe, mixing, near_dedup, quality, sharding, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_debruijn_dedup": substring_dedup.op1_debruijn_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_line_quality": quality.op3_line_quality,
     "op4_curriculum_mix": mixing.op4_curriculum_mix,
     "op5_bottom_k_near": near_dedup.op5_bottom_k_near,
+    "op6_noisy_channel_toxicity": toxicity.op6_noisy_channel_toxicity,
     "op9_hash_tree_shards": sharding.op9_hash_tree_shards,
     "op10_word_table_bpe": bpe.op10_word_table_bpe,
 }
