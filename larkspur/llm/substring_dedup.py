@@ -213,7 +213,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     Texts without a repeat come back unchanged, null ones too; a text that is cut to nothing is ''.
     """
     joined, at, size = with_spans(docs, repeated_spans(docs, window, gram, id_col, text_col).read(), id_col)
-    place = docs.columns.index(text_col)
+    names, place = docs.columns, docs.columns.index(text_col)
 
     def step(batch: pa.RecordBatch):
         column = batch.column(place)
@@ -236,8 +236,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
                 parts.append(raw[last : starts[x] if x < hi else end])
                 last = int(starts[y]) if y < hi else end
             out.append(b"".join([*parts, raw[last:end]]).decode())
-        arrays = [pa.array(out, pa.string()) if i == place else batch.column(i) for i in range(len(docs.columns))]
-        return pa.RecordBatch.from_arrays(arrays, names=docs.columns)
+        arrays = [pa.array(out, pa.string()) if i == place else batch.column(i) for i in range(len(names))]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
 
     return map_arrow(joined, step, docs.schema)
 

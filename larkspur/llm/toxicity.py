@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm._frames import documents, fresh, id_text, map_arrow, ship
+from larkspur.llm._frames import documents, id_text, map_arrow, ship
 from larkspur.llm._store import Table
 from larkspur.llm._text import buffers, words
 
@@ -341,7 +341,7 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns, that are not predicted toxic."""
     model = fit(id_text(docs, id_col, text_col), labels.select("doc_id", "toxic"))
-    place, flag, names = docs.columns.index(text_col), fresh("toxic_score", docs.columns), docs.columns
+    place, names = docs.columns.index(text_col), docs.columns
 
     def run(batches):
         for batch in batches:
@@ -354,7 +354,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
                     i = j
                 yield batch.filter(pa.array(keep)).rename_columns(names)
 
-    assert flag not in names
     return ship(docs).mapInArrow(run, docs.schema)
 
 
