@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import scalar as fn
 from larkspur.operators import relational as op
+from larkspur.session import Session, default_root
+from larkspur.sources import synthetic
+from larkspur.sources.csv import read_csv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -163,3 +166,45 @@ q("fn_ceil", lambda t: t.customer.select("c_custkey", fn.ceiling(col("c_acctbal"
 q("fn_floor", lambda t: t.customer.select("c_custkey", fn.floor(col("c_acctbal")).alias("x")), "SELECT c_custkey, CAST(floor(c_acctbal) AS BIGINT) AS x FROM customer")
 q("fn_coalesce", lambda t: t.orders.select("o_orderkey", fn.coalesce(fn.nullif(col("o_orderstatus"), F.lit("F")), F.lit("-")).alias("x")), "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'F'), '-') AS x FROM orders")
 q("fn_nullif", lambda t: t.orders.select("o_orderkey", fn.nullif(col("o_orderstatus"), F.lit("O")).alias("x")), "SELECT o_orderkey, nullif(o_orderstatus, 'O') AS x FROM orders")
+
+
+# --- statements: a private database is changed, the query returns its end state ---
+def script(name: str, tables: str, sql: str, statements: list[str]) -> None:
+    """Register a script; its last statement is the SELECT whose rows are returned."""
+
+    def run(t: Tables) -> DataFrame:
+        session = Session(t.spark)
+        for table in tables.split():
+            session.attach(table, f"{t.folder}/{table}.parquet")
+        for s in statements[:-1]:
+            session.execute(s)
+        return session.execute(statements[-1])
+
+    q(name, run, sql)
+
+
+MADE = ["CREATE TABLE acc (id INT PRIMARY KEY, seg VARCHAR, bal FLOAT DEFAULT 0.5)", "INSERT INTO acc SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_custkey < 500"]
+script("dml_insert", "customer", "SELECT c_custkey AS id, c_mktsegment AS seg, c_acctbal AS bal FROM customer WHERE c_custkey < 500 UNION ALL SELECT 9000, 'NEW', CAST(0.5 AS DOUBLE)", [*MADE, "INSERT INTO acc (seg, id) VALUES ('NEW', 9000)", "SELECT * FROM acc"])
+script("dml_update", "customer", "SELECT c_custkey AS id, c_mktsegment AS seg, CASE WHEN c_acctbal < 0 THEN c_acctbal * -2 ELSE c_acctbal END AS bal FROM customer WHERE c_custkey < 500", [*MADE, "UPDATE acc SET bal = bal * -2 WHERE bal < 0", "SELECT * FROM acc"])
+script("dml_delete", "customer", "SELECT c_custkey AS id, c_mktsegment AS seg, c_acctbal AS bal FROM customer WHERE c_custkey < 500 AND NOT (c_mktsegment = 'BUILDING' OR c_acctbal > 5000)", [*MADE, "DELETE FROM acc WHERE seg = 'BUILDING' OR bal > 5000", "SELECT * FROM acc"])
+script("dml_delete_cascade", "customer orders", "SELECT o_orderkey AS id, o_custkey AS cust FROM orders WHERE o_custkey < 500 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')", [*MADE, "CREATE TABLE ord (id INT, cust INT REFERENCES acc(id) ON DELETE CASCADE)", "INSERT INTO ord SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey < 500", "DELETE FROM acc WHERE seg = 'BUILDING'", "SELECT * FROM ord"])
+script("dml_merge", "customer", "SELECT c_custkey AS id, CASE WHEN c_custkey >= 400 AND c_custkey < 500 THEN 'BOTH' ELSE c_mktsegment END AS seg, c_acctbal AS bal FROM customer WHERE c_custkey < 600", [*MADE, "CREATE TABLE src (id INT, seg VARCHAR, bal FLOAT)", "INSERT INTO src SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_custkey >= 400 AND c_custkey < 600", "MERGE INTO acc USING src ON acc.id = src.id WHEN MATCHED THEN UPDATE SET seg = 'BOTH' WHEN NOT MATCHED THEN INSERT VALUES (src.id, src.seg, src.bal)", "SELECT * FROM acc"])
+script("dml_trigger", "customer", "SELECT CAST(2 AS BIGINT) AS n", [*MADE, "CREATE TABLE log (id INT)", "CREATE TRIGGER note AFTER UPDATE ON acc FOR EACH ROW BEGIN 'INSERT INTO log VALUES (1)'; 'INSERT INTO log VALUES (2)'; END", "UPDATE acc SET bal = 1 WHERE id = 3", "SELECT COUNT(*) AS n FROM log"])
+script("txn_rollback", "customer", "SELECT count(*) AS n FROM customer WHERE c_custkey < 500", [*MADE, "BEGIN", "DELETE FROM acc", "ROLLBACK", "BEGIN", "UPDATE acc SET bal = 0", "COMMIT", "SELECT COUNT(*) AS n FROM acc WHERE id >= 0"])
+script("loop_while", "customer", "SELECT CAST(5 AS BIGINT) AS n", ["CREATE TABLE k (id INT)", "again: WHILE (SELECT COUNT(*) FROM k) < 10 DO INSERT INTO k VALUES (1); again2: WHILE (SELECT COUNT(*) FROM k) >= 5 DO LEAVE again; END WHILE; END WHILE", "SELECT COUNT(*) AS n FROM k"])
+script("view_logical", "customer", "SELECT c_mktsegment AS seg, count(*) AS n FROM (SELECT c_mktsegment FROM customer WHERE c_custkey < 500 UNION ALL SELECT 'NEW') GROUP BY c_mktsegment", [*MADE, "CREATE VIEW segs AS SELECT seg, COUNT(*) AS n FROM acc GROUP BY seg", "INSERT INTO acc (id, seg) VALUES (9000, 'NEW')", "SELECT * FROM segs"])
+script("mv_snapshot", "customer", "SELECT c_mktsegment AS seg, count(*) AS n FROM customer WHERE c_custkey < 500 GROUP BY c_mktsegment", [*MADE, "CREATE MATERIALIZED VIEW segs AS SELECT seg, COUNT(*) AS n FROM acc GROUP BY seg", "INSERT INTO acc (id, seg) VALUES (9000, 'NEW')", "SELECT * FROM segs"])
+script("udf_sql_expr", "part", "SELECT p_partkey, (p_size + 1) // 2 AS half FROM part WHERE (p_size + 1) // 2 > 10", ["CREATE FUNCTION half(x INT) RETURNS INT AS '(x + 1) / 2'", "SELECT p_partkey, half(p_size) AS half FROM part WHERE half(p_size) > 10"])
+script("alter_table", "customer", "SELECT c_custkey AS key, NULL::VARCHAR AS note FROM customer WHERE c_custkey < 500", [*MADE, "ALTER TABLE acc ADD COLUMN note VARCHAR", "ALTER TABLE acc RENAME COLUMN id TO key", "ALTER TABLE acc DROP COLUMN seg", "ALTER TABLE acc DROP COLUMN bal", "RENAME TABLE acc TO account", "SELECT * FROM account"])
+script("dialect_select", "orders customer", "SELECT o_custkey, count(DISTINCT o_orderstatus) AS kinds, CAST(sum(o_orderkey) // count(*) AS BIGINT) AS mean FROM orders WHERE o_totalprice > ANY (SELECT c_acctbal * 30 FROM customer WHERE c_custkey < 20) GROUP BY o_custkey HAVING count(*) > 3", ["SELECT o_custkey, COUNT(DISTINCT o_orderstatus) AS kinds, SUM(o_orderkey) / COUNT(*) AS mean FROM orders WHERE o_totalprice > ANY (SELECT c_acctbal * 30 FROM customer WHERE c_custkey < 20) GROUP BY o_custkey HAVING COUNT(*) > 3"])
+
+
+@query("load_csv", "SELECT c_custkey AS id, nullif(c_name, '') AS name, c_acctbal AS bal FROM customer")
+def load_csv(t: Tables) -> DataFrame:
+    """A table written as CSV and loaded back by the dialect's rules."""
+    path = f"{default_root(t.spark)}/csv"
+    t.customer.select("c_custkey", "c_name", F.col("c_acctbal").cast("string").alias("bal")).write.option("header", True).csv(path)
+    return read_csv(t.spark, path, [("id", "bigint"), ("name", "string"), ("bal", "double")])
+
+
+q("generate_data", lambda t: synthetic.employees(t.spark, 1000).agg(n(), F.min("id").alias("lo"), F.max("id").alias("hi"), F.max(F.when(~col("salary").between(30000, 149999) | ~col("age").between(22, 64), 1).otherwise(0)).cast("long").alias("bad")), "SELECT CAST(1000 AS BIGINT) AS n, CAST(1 AS BIGINT) AS lo, CAST(1000 AS BIGINT) AS hi, CAST(0 AS BIGINT) AS bad")
