@@ -84,11 +84,16 @@ class Emitter:
         if s.join:
             return self.scope(s.left, outer, ctes) | self.scope(s.right, outer, ctes)
         if s.query:
-            found = self.schema_of(self.query(s.query, None, ctes))
+            found = self.schema_of(self.defined(self.query(s.query, None, ctes), ctes))
         else:
-            found = self.schema_of(ctes[s.name.lower()] if s.name.lower() in ctes else quoted(s.name))
+            found = self.schema_of(self.defined(ctes[s.name.lower()], ctes) if s.name.lower() in ctes else quoted(s.name))
         return {(s.alias or s.name or f"_{id(s)}").lower(): {k.lower(): v for k, v in found.items()}}
 
+    @staticmethod
+    def defined(text: str, ctes: dict[str, str]) -> str:
+        """A query that stands alone, the CTEs it may name written before it."""
+        return f"WITH {', '.join(f'{quoted(n)} AS ({q})' for n, q in ctes.items())} SELECT * FROM ({text})" if ctes else text
+
     # --- types, as far as division needs them ---
     def integral(self, e: Expr, scope) -> bool:
         k = e.kind
