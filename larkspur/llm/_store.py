@@ -32,11 +32,12 @@ class Table:
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/larkspur-{name}-{uuid.uuid4().hex}"
+        self.schema = df.schema
         df.write.parquet(self.path)
         _OPEN.add(self.path)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self.spark.read.schema(self.schema).parquet(self.path)
 
     def drop(self) -> None:
         """For tables that no returned DataFrame reads any more."""

@@ -164,7 +164,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``."""
     members, merged = near_links(docs, shingle, percent, id_col, text_col)
     joined = members.read().join(merged.read(), F.col("rep") == F.col("node"), "left")
-    group = F.coalesce("component", "rep", "doc_id")
+    group = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), group.alias("component_id"), F.coalesce(F.col("doc_id") == group, F.lit(True)).alias("kept"))
 
 

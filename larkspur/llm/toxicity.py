@@ -49,7 +49,7 @@ _ASCII = np.zeros(256, bool)
 _ASCII[97:123] = _ASCII[65:91] = True
 _APART = np.zeros(256, bool)
 _APART[[ord(c) for c in " .-_*~"]] = True
-_SPACED = re.compile(r"(?<![A-Za-z0-9@$!|])[A-Za-z0-9@$!|](?:[ .\-_*~][A-Za-z0-9@$!|]){2,}(?![A-Za-z0-9@$!|])")
+_SPACED = re.compile(r"(?<![A-Za-z0-9@$!|])[A-Za-z0-9@$!|](?:[ .\-_*~][A-Za-z0-9@$!|]){2,}(?![A-Za-z0-9@$])")
 _CORE = re.compile(r"^[^A-Za-z0-9@$!|+(]+|[^A-Za-z0-9@$]+$")
 SUBSTITUTED, DROPPED, KEPT = math.log(0.15), math.log(0.5), math.log(0.85)
 
