@@ -38,13 +38,24 @@ def ship(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Bytes of a batch that an operator works on at once; bounds the memory of a Python worker.
+PIECE = 8 << 20
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of about PIECE bytes, without a copy."""
+    rows = max(1, batch.num_rows * PIECE // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch] | None], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+    """mapInArrow with a function of one piece of a batch."""
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                out = step(batch)
+            for piece in pieces(batch):
+                out = step(piece)
                 if isinstance(out, pa.RecordBatch):
                     yield out
                 elif out is not None:

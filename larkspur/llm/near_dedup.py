@@ -5,7 +5,8 @@ a class by a hash of the set, and only the smallest of a class goes on. Inverted
 candidates: two sets with a similarity of 0.8 share 14 of 32 retained values but for odds of one in a million, so
 they share one of the 19 that are rarest in the table, and only those are listed. Long lists are the groups of
 near copies: each list is linked to its smallest document first, those links are verified and merged into
-components, and only then do the documents outside a list's main component meet the rest of it. So a group of n
+components. Those still outside a list's main component meet 16 of the list, then 128, and only what is left over
+meets the whole list, but for pairs that the triangle inequality of the Jaccard distance rules out. So a group of n
 near copies costs about n comparisons, not n squared, and no link between different components is left out.
 The similarity of a pair is first estimated in the sketch of the union, then counted on the full sets.
 
@@ -29,6 +30,8 @@ from larkspur.llm.components import components
 SKETCH = 32
 LISTED = 19
 ESTIMATE = 0.5
+#: How many documents of a list those outside its main component meet in each round; the last round meets all.
+ROUNDS = (16, 128, None)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -100,22 +103,43 @@ def _estimated(pairs: DataFrame, low: DataFrame, threshold: float) -> DataFrame:
     return map_arrow(joined, step, "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs that reach the similarity on their full sets."""
+def _counted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, same, total): sizes of the intersection and the union of the full sets."""
     joined = pairs.join(sets.select(F.col("doc").alias("a"), F.col("grams").alias("grams_a")), "a").join(sets.select(F.col("doc").alias("b"), F.col("grams").alias("grams_b")), "b").select("a", "b", "grams_a", "grams_b")
 
     def step(batch: pa.RecordBatch):
-        keep = []
+        shared, union = [], []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             if len(x) > len(y):
                 x, y = y, x
             at = np.searchsorted(y, x)
             same = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-            keep.append(100 * same >= percent * (len(x) + len(y) - same))
-        return pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
+            shared.append(same)
+            union.append(len(x) + len(y) - same)
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(shared, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "same", "total"])
 
-    return map_arrow(joined, step, "a long, b long")
+    return map_arrow(joined, step, "a long, b long, same long, total long")
+
+
+def _across(labelled: DataFrame, pivots: int | None, percent: int) -> DataFrame:
+    """Pairs of a list's documents outside its main component with documents of other components of that list.
+
+    With ``pivots``, only with so many of the list's documents, picked by hash. Without, with all of them, but for
+    those that the triangle inequality of the Jaccard distance rules out by both distances to the list's head.
+    """
+    parts = labelled.groupBy("value", "component").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("least"))
+    mixed = parts.groupBy("value").agg(F.max_by("component", F.struct("n", -F.col("least"))).alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("value", "main")
+    rows = labelled.join(mixed, "value")
+    outside = rows.where("component <> main").select("value", F.col("doc").alias("x"), F.col("component").alias("cx"), F.col("far").alias("fx"))
+    others = rows.select("value", F.col("doc").alias("y"), F.col("component").alias("cy"), F.col("far").alias("fy"))
+    near = F.col("cx") != F.col("cy")
+    if pivots:
+        order = Window.partitionBy("value").orderBy(F.xxhash64("y", F.lit(pivots)), "y")
+        others = others.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots).drop("rank")
+    else:
+        near = near & ((F.abs(F.col("fx") - F.col("fy")) <= 1 - percent / 100 + 1e-9) | F.col("fx").isNull() | F.col("fy").isNull())
+    return outside.join(others, "value").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def listed(classes: DataFrame) -> DataFrame:
@@ -143,19 +167,23 @@ def near_links(docs: DataFrame, size: int, percent: int, id_col: str = "doc_id",
     first = index.join(heads, "value").where("doc <> a").select("a", F.col("doc").alias("b")).distinct()
     wanted = index.select(F.col("doc").alias("doc_id")).distinct()
     grams = Table(full_sets(source.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "sets")
-    links = Table(_verified(_estimated(first, low, ESTIMATE), grams.read(), percent), "links-first")
-    merged = components(links.read())
-    labelled = index.join(merged.read().withColumnRenamed("node", "doc"), "doc", "left").select("value", "doc", F.coalesce("component", "doc").alias("component"))
-    labelled = Table(labelled, "labelled")
-    mixed = labelled.read().groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("doc").alias("head")).where("lo <> hi").select("value", "head")
-    main = labelled.read().join(mixed, "value")
-    of_head = main.where("doc = head").select("value", F.col("component").alias("main"))
-    outside = main.join(of_head, "value").where("component <> main").select("value", F.col("doc").alias("x"), F.col("component").alias("cx"))
-    second = outside.join(main.select("value", F.col("doc").alias("y"), F.col("component").alias("cy"), "head"), "value").where("cx <> cy and y <> head").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = Table(_verified(_estimated(second, low, ESTIMATE), grams.read(), percent), "links-second")
-    every = links.read().unionByName(more.read())
-    out = components(every)
-    for t in (classes, lists, grams, links, labelled, merged, more):
+    passed = lambda table: table.read().where(F.col("same") * 100 >= F.col("total") * percent).select("a", "b")
+    found = [Table(_counted(_estimated(first, low, ESTIMATE), grams.read()), "counted")]
+    far = found[0].read().select("a", F.col("b").alias("doc"), (1 - F.col("same") / F.col("total")).alias("far"))
+    measured = index.join(heads, "value").join(far, ["a", "doc"], "left").select("value", "doc", F.when(F.col("doc") == F.col("a"), 0.0).otherwise(F.col("far")).alias("far"))
+    measured = Table(measured, "measured")
+    out = components(passed(found[0]))
+    for pivots in ROUNDS:
+        merged = out.read().withColumnRenamed("node", "doc")
+        labelled = Table(measured.read().join(merged, "doc", "left").select("value", "doc", "far", F.coalesce("component", "doc").alias("component")), "labelled")
+        found.append(Table(_counted(_estimated(_across(labelled.read(), pivots, percent), low, ESTIMATE), grams.read()), "counted"))
+        labelled.drop()
+        out.drop()
+        every = passed(found[0])
+        for table in found[1:]:
+            every = every.unionByName(passed(table))
+        out = components(every)
+    for t in (classes, lists, grams, measured, *found):
         t.drop()
     return members, out
 
