@@ -178,6 +178,8 @@ def near_links(docs: DataFrame, size: int, percent: int, id_col: str = "doc_id",
         labelled = Table(measured.read().join(merged, "doc", "left").select("value", "doc", "far", F.coalesce("component", "doc").alias("component")), "labelled")
         found.append(Table(_counted(_estimated(_across(labelled.read(), pivots, percent), low, ESTIMATE), grams.read()), "counted"))
         labelled.drop()
+        if not passed(found[-1]).limit(1).count():
+            continue  # no new link, the components stand
         out.drop()
         every = passed(found[0])
         for table in found[1:]:
