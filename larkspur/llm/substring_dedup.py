@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm._frames import documents, fresh, id_text, map_arrow, ship
 from larkspur.llm._store import Table
-from larkspur.llm._text import buffers, covered, gram_hashes, segments, span_hashes, words
+from larkspur.llm._text import buffers, covered, segments, span_hashes, words
 
 WINDOW = 50
 GRAM = 8

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm._frames import documents, id_text, map_arrow, ship
 from larkspur.llm._store import Table
-from larkspur.llm._text import buffers, covered, segments
+from larkspur.llm._text import BASES, U64, buffers, covered, gram_hashes, segments
 
 WINDOW = 100
 GRAM = 24
@@ -127,8 +127,6 @@ def run_bytes(joined: DataFrame, window: int, gram: int) -> DataFrame:
 
 def aligned_at(data: np.ndarray, bounds: np.ndarray, counts: np.ndarray, gram: int) -> np.ndarray:
     """Offset of each run's minimizer: the leftmost smallest gram common to its windows."""
-    from larkspur.llm._text import BASES, U64, gram_hashes
-
     out = np.zeros(len(counts), np.int64)
     if not len(counts):
         return out

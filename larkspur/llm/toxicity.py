@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm._frames import documents, id_text, map_arrow, ship
+from larkspur.llm._frames import documents, id_text, ship
 from larkspur.llm._store import Table
 from larkspur.llm._text import buffers, words
 
