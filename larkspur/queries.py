@@ -199,6 +199,24 @@ script("alter_table", "customer", "SELECT c_custkey AS key, NULL::VARCHAR AS not
 script("dialect_select", "orders customer", "SELECT o_custkey, count(DISTINCT o_orderstatus) AS kinds, CAST(sum(o_orderkey) // count(*) AS BIGINT) AS mean FROM orders WHERE o_totalprice > ANY (SELECT c_acctbal * 30 FROM customer WHERE c_custkey < 20) GROUP BY o_custkey HAVING count(*) > 3", ["SELECT o_custkey, COUNT(DISTINCT o_orderstatus) AS kinds, SUM(o_orderkey) / COUNT(*) AS mean FROM orders WHERE o_totalprice > ANY (SELECT c_acctbal * 30 FROM customer WHERE c_custkey < 20) GROUP BY o_custkey HAVING COUNT(*) > 3"])
 
 
+# --- the same on whole tables: no row is left out by its id; the forms above keep their SQL ---
+ACC = "SELECT c_custkey AS id, c_mktsegment AS seg, c_acctbal AS bal FROM customer"
+WHOLE = [MADE[0], "INSERT INTO acc SELECT c_custkey, c_mktsegment, c_acctbal FROM customer"]
+for how, sql in (("left", "LEFT"), ("right", "RIGHT"), ("full", "FULL")):
+    # both sides have rows without a partner: customers with no dear order, and orders of other segments
+    q(f"join_{how}_whole", lambda t, how=how: t.customer.withColumn("k", F.when(col("c_mktsegment") != "BUILDING", col("c_custkey"))).select("c_custkey", "c_name", "k").join(t.orders.withColumn("o", F.when(col("o_totalprice") > 250000, col("o_custkey"))).select("o_orderkey", "o_custkey", "o"), col("k") == col("o"), how).select("c_custkey", "c_name", "o_orderkey", "o_custkey"), f"SELECT c_custkey, c_name, o_orderkey, o_custkey FROM customer {sql} JOIN orders ON c_custkey = o_custkey AND c_mktsegment <> 'BUILDING' AND o_totalprice > 250000")
+script("dml_insert_whole", "customer", f"{ACC} UNION ALL SELECT -1, 'NEW', CAST(0.5 AS DOUBLE)", [*WHOLE, "INSERT INTO acc (seg, id) VALUES ('NEW', -1)", "SELECT * FROM acc"])
+script("dml_update_whole", "customer", "SELECT c_custkey AS id, c_mktsegment AS seg, CASE WHEN c_acctbal < 0 THEN c_acctbal * -2 ELSE c_acctbal END AS bal FROM customer", [*WHOLE, "UPDATE acc SET bal = bal * -2 WHERE bal < 0", "SELECT * FROM acc"])
+script("dml_delete_whole", "customer", f"{ACC} WHERE NOT (c_mktsegment = 'BUILDING' OR c_acctbal > 5000)", [*WHOLE, "DELETE FROM acc WHERE seg = 'BUILDING' OR bal > 5000", "SELECT * FROM acc"])
+script("dml_delete_cascade_whole", "customer orders", "SELECT o_orderkey AS id, o_custkey AS cust FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')", [*WHOLE, "CREATE TABLE ord (id INT, cust INT REFERENCES acc(id) ON DELETE CASCADE)", "INSERT INTO ord SELECT o_orderkey, o_custkey FROM orders", "DELETE FROM acc WHERE seg = 'BUILDING'", "SELECT * FROM ord"])
+script("dml_merge_whole", "customer", "SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'BUILDING' AND c_acctbal > 0 THEN 'BOTH' ELSE c_mktsegment END AS seg, c_acctbal AS bal FROM customer", [MADE[0], "INSERT INTO acc SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_acctbal > 0", "CREATE TABLE src (id INT, seg VARCHAR, bal FLOAT)", "INSERT INTO src SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING' OR c_acctbal <= 0", "MERGE INTO acc USING src ON acc.id = src.id WHEN MATCHED THEN UPDATE SET seg = 'BOTH' WHEN NOT MATCHED THEN INSERT VALUES (src.id, src.seg, src.bal)", "SELECT * FROM acc"])
+script("dml_trigger_whole", "customer", "SELECT CAST(2 AS BIGINT) AS n", [*WHOLE, "CREATE TABLE log (id INT)", "CREATE TRIGGER note AFTER UPDATE ON acc FOR EACH ROW BEGIN 'INSERT INTO log VALUES (1)'; 'INSERT INTO log VALUES (2)'; END", "UPDATE acc SET bal = 1 WHERE bal > 0", "SELECT COUNT(*) AS n FROM log"])
+script("txn_rollback_whole", "customer", "SELECT count(*) AS n FROM customer", [*WHOLE, "BEGIN", "DELETE FROM acc", "ROLLBACK", "BEGIN", "UPDATE acc SET bal = 0", "COMMIT", "SELECT COUNT(*) AS n FROM acc WHERE id >= 0"])
+script("view_logical_whole", "customer", "SELECT c_mktsegment AS seg, count(*) AS n FROM (SELECT c_mktsegment FROM customer UNION ALL SELECT 'NEW') GROUP BY c_mktsegment", [*WHOLE, "CREATE VIEW segs AS SELECT seg, COUNT(*) AS n FROM acc GROUP BY seg", "INSERT INTO acc (id, seg) VALUES (-1, 'NEW')", "SELECT * FROM segs"])
+script("mv_snapshot_whole", "customer", "SELECT c_mktsegment AS seg, count(*) AS n FROM customer GROUP BY c_mktsegment", [*WHOLE, "CREATE MATERIALIZED VIEW segs AS SELECT seg, COUNT(*) AS n FROM acc GROUP BY seg", "INSERT INTO acc (id, seg) VALUES (-1, 'NEW')", "SELECT * FROM segs"])
+script("alter_table_whole", "customer", "SELECT c_custkey AS key, NULL::VARCHAR AS note FROM customer", [*WHOLE, "ALTER TABLE acc ADD COLUMN note VARCHAR", "ALTER TABLE acc RENAME COLUMN id TO key", "ALTER TABLE acc DROP COLUMN seg", "ALTER TABLE acc DROP COLUMN bal", "RENAME TABLE acc TO account", "SELECT * FROM account"])
+script("dialect_select_whole", "orders customer", "SELECT o_custkey, count(DISTINCT o_orderstatus) AS kinds, CAST(sum(o_orderkey) // count(*) AS BIGINT) AS mean FROM orders WHERE o_totalprice > ANY (SELECT c_acctbal * 30 FROM customer WHERE c_acctbal > 5000) GROUP BY o_custkey HAVING count(*) > 3", ["SELECT o_custkey, COUNT(DISTINCT o_orderstatus) AS kinds, SUM(o_orderkey) / COUNT(*) AS mean FROM orders WHERE o_totalprice > ANY (SELECT c_acctbal * 30 FROM customer WHERE c_acctbal > 5000) GROUP BY o_custkey HAVING COUNT(*) > 3"])
+
 @query("load_csv", "SELECT c_custkey AS id, nullif(c_name, '') AS name, c_acctbal AS bal FROM customer")
 def load_csv(t: Tables) -> DataFrame:
     """A table written as CSV and loaded back by the dialect's rules."""
