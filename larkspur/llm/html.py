@@ -2,7 +2,8 @@
 
 The tokenizer and tree builder follow the HTML rules that change the text: implied ends of p, li, dt, dd, option,
 tr, td, th and table sections, implied tr and tbody, raw text in script and style, void elements, unclosed tags and
-comments, character references. Hidden are head, script, style, template, noscript, elements with ``hidden`` or
+comments, character references. What stands in a table outside its cells and captions is fostered: it goes before
+the table. Hidden are head, script, style, template, noscript, elements with ``hidden`` or
 inline ``display:none`` or ``visibility:hidden``. The renderer keeps block spacing (a blank line around paragraphs and
 headings, a line for other blocks), list markers with indentation, preformatted text, and tables with cells aligned
 in columns.
@@ -37,6 +38,13 @@ CLOSES |= {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"),
 CLOSES |= {x: ("td", "th", "tr", "thead", "tbody", "tfoot", "caption", "colgroup", "p") for x in ("thead", "tbody", "tfoot")}
 BARRIER = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "option": ("select", "datalist"), "optgroup": ("select",)}
 TABLE = frozenset("table html template".split())
+#: Elements that hold only those of KEPT and white space; anything else in them is fostered.
+GRID = frozenset("table thead tbody tfoot tr".split())
+PARTS = frozenset("thead tbody tfoot tr td th caption colgroup col".split())
+KEPT = PARTS | frozenset("script style template".split())
+CELL = frozenset("td th caption template".split())
+#: What a part leaves open of the table it starts in.
+STAY = {"tr": ("thead", "tbody", "tfoot"), "td": ("thead", "tbody", "tfoot", "tr"), "th": ("thead", "tbody", "tfoot", "tr"), "col": ("colgroup",)}
 SCOPE = frozenset("table td th caption button html template object".split())
 INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?")
@@ -67,9 +75,31 @@ def parse(page: str) -> Node:
                 if not keep:
                     break
 
+    def table_at(barrier: frozenset) -> int:
+        """Where the innermost table stands on the stack, 0 if none does or the barrier is met first."""
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag == "table":
+                return i
+            if stack[i].tag in barrier:
+                break
+        return 0
+
+    def put(child) -> None:
+        """Into the current node; what that cannot hold as part of a table goes before the table."""
+        if stack[-1].tag == "colgroup":
+            stack.pop()
+        t = table_at(CELL) if stack[-1].tag in GRID else 0
+        if t:
+            stack[t - 1].children.insert(-1, child)  # an open table is the last child
+        else:
+            stack[-1].children.append(child)
+
     def push(tag: str, hidden: bool = False, start: int = 1) -> None:
         node = Node(tag, hidden, start)
-        stack[-1].children.append(node)
+        if tag in KEPT:
+            stack[-1].children.append(node)
+        else:
+            put(node)
         stack.append(node)
 
     while at < end:
@@ -82,7 +112,17 @@ def parse(page: str) -> Node:
                 if tag == "body":
                     close(("head",), ())
                 continue
-            if tag in CLOSES:
+            t = table_at(frozenset(("template",))) if tag in PARTS else table_at(CELL) if tag in ("table", "form") else 0
+            if t and tag in PARTS:
+                while t + 1 < len(stack) and stack[t + 1].tag in STAY.get(tag, ()):
+                    t += 1
+                del stack[t + 1 :]
+            elif t and tag == "form":
+                put(Node("form"))  # empty: what follows it is the table's
+                continue
+            elif t:
+                del stack[t:]  # a table directly in a table ends it
+            if tag in CLOSES and not (t and tag in PARTS):
                 close(CLOSES[tag], BARRIER.get(tag, TABLE if tag in ("tr", "td", "th", "thead", "tbody", "tfoot") else SCOPE))
             if tag in ("tr", "td", "th") and not any(n.tag == "table" for n in stack):
                 continue  # cells outside a table are ignored
@@ -100,7 +140,7 @@ def parse(page: str) -> Node:
                 if tag == "ol" and found.get("start", "").lstrip("-").isdigit():
                     start = int(found["start"])
             if tag in VOID:
-                stack[-1].children.append(Node(tag, hidden))
+                (stack[-1].children.append if tag in KEPT else put)(Node(tag, hidden))
                 continue
             push(tag, hidden, start)
             if tag in RAW:
@@ -113,9 +153,9 @@ def parse(page: str) -> Node:
         elif ended is not None:
             tag = ended.lower()
             if tag == "br":
-                stack[-1].children.append(Node("br"))
+                put(Node("br"))
             elif tag == "p" and not any(n.tag == "p" for n in stack):
-                stack[-1].children.append(Node("p"))
+                put(Node("p"))
             elif tag in ("html", "body"):
                 continue
             else:
@@ -129,7 +169,11 @@ def parse(page: str) -> Node:
         else:
             text = m[0]
             if text == "<" or text[0] != "<":
-                stack[-1].children.append(unescape(text))
+                text = unescape(text)
+                if text.strip(" \t\n\r\f"):
+                    put(text)
+                else:
+                    stack[-1].children.append(text)
     return root
 
 
