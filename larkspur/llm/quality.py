@@ -1,8 +1,10 @@
 """Operator 3, quality rules: line-first cleaning, DataFrame functions only.
 
 Each line is judged by itself: a line fails if it has symbols instead of punctuation (a tenth of its characters
-are of ``#*$%&|<>``), if it is navigation (cells split by bars, or three very short pieces and no sentence end), or
-boilerplate (licence, cookie and sharing phrases, bare links). Failing lines and lines equal to an earlier one go;
+are of ``#*$%&|<>``), if it is navigation (three bars or more), or boilerplate (licence, cookie and sharing phrases,
+bare links). Left out, here as in the SQL: navigation without three bars (very short pieces and no sentence end, such
+as a menu split by spaces or dashes) and any rule on sentence-ending punctuation; such lines keep their characters.
+Failing lines and lines equal to an earlier one go;
 a document is kept if what is left is more than ``1 - max_loss`` of its characters. The base rules (word count and
 the share of words in repeated 8-word windows) reject before that.
 
