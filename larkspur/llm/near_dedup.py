@@ -8,7 +8,9 @@ near copies: each list is linked to its smallest document first, those links are
 components. Those still outside a list's main component meet 16 of the list, then 128, and only what is left over
 meets the whole list, but for pairs that the triangle inequality of the Jaccard distance rules out. So a group of n
 near copies costs about n comparisons, not n squared, and no link between different components is left out.
-The similarity of a pair is first estimated in the sketch of the union, then counted on the full sets.
+The similarity of a pair is first estimated in the sketch of the union, where fewer than 14 shared of 32 drop it,
+then counted on the full sets. Values shared there are retained by both, so a link is lost by listing and estimate
+together only if fewer than 14 are: odds of 1.2 in a million at similarity 0.8, less above.
 
 Defined results: null, empty and blank texts have no shingles, are linked with nothing and are kept; a text shorter
 than a shingle is one shingle of its own; a null doc_id has no component and is kept; repeated rows of one doc_id
@@ -29,7 +31,8 @@ from larkspur.llm.components import components
 
 SKETCH = 32
 LISTED = 19
-ESTIMATE = 0.5
+#: As many of the union's 32 smallest as the listing needs: a pair it keeps off is one the listing may lose too.
+ESTIMATE = 14 / SKETCH
 #: How many documents of a list those outside its main component meet in each round; the last round meets all.
 ROUNDS = (16, 128, None)
 LOWER = np.arange(256, dtype=np.uint8)
