@@ -71,5 +71,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: SQL cannot express the toxicity model or the tokenizer; tests/llm holds run() against a brute-force version.
+#: SQL cannot express the toxicity model or the tokenizer; tests/llm checks columns, ids and counts
+#: of the stages only; no test holds run() against a brute-force version yet.
 ORACLE_SQL = None
