@@ -13,7 +13,8 @@ count, and the occurrence joins are inner joins that adaptive execution may spli
 
 Defined results: null text has no words; a document of fewer than 50 words keeps all; a null doc_id is neither
 a source nor changed; repeated rows of one doc_id (equal text) each get the same result, as the same doc_id is
-not smaller; word characters are compared exactly, through 64-bit hashes within one minimizer's 64-bit key.
+not smaller; words are compared through 64-bit hashes: equal runs and whole paths by the run's hash alone, without
+a look at their source text, and branches by hashes of windows read at their source coordinates.
 """
 
 from __future__ import annotations
