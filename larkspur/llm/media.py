@@ -97,9 +97,9 @@ _WINDOW = np.hanning(FRAME).astype(np.float32)
 
 
 def log_mel(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Frames by MELS, and each frame's energy in dB."""
-    if len(x) < FRAME:
-        x = np.concatenate((x, np.zeros(FRAME - len(x), np.float32)))
+    """Frames by MELS, and each frame's energy in dB. Each hop begun has a frame, the last ones padded with zeros."""
+    hops = max(1, -(-len(x) // HOP))
+    x = np.concatenate((x, np.zeros((hops - 1) * HOP + FRAME - len(x), np.float32)))
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     mels, energy = [], []
     for i in range(0, len(frames), 4096):
