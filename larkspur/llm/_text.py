@@ -5,6 +5,7 @@ Everything works on the UTF-8 bytes in the Arrow buffer with numpy; no Python ob
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,33 +80,120 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASES[0]) -> np.ndarray:
-    """64-bit hashes of values[start:end], independent of where the span stands; starts and ends ascend."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
+#: Words up to so many 8-byte pieces are hashed in numpy, longer ones one by one with BLAKE2.
+PIECES = 16
+_SMALL = tuple(U64((1 << (8 * k)) - 1) for k in range(8))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end]: 8-byte pieces chained through a finalizer, so no sums that could cancel."""
+    size = ends - starts
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    pieces = np.ndarray((len(data) + 9,), "<u8", padded, strides=(1,))
+    masks = np.array([*_SMALL, U64(0xFFFFFFFFFFFFFFFF)])
+    out = mix(size.astype(np.uint64) + U64(0x9E3779B97F4A7C15))
+    live, at, rest = np.arange(len(starts)), starts, size
+    with np.errstate(over="ignore"):
+        for _ in range(PIECES):
+            if not len(live):
+                return out
+            part = pieces[at] & masks[np.minimum(rest, 8)]
+            out[live] = mix((out[live] ^ part) + U64(0xA0761D6478BD642F))
+            more = rest > 8
+            live, at, rest = live[more], at[more] + 8, rest[more] - 8
+    for k in live.tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def chained(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of values[start:end], each value chained through a finalizer; for spans of few values."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + U64(0xE7037ED1A0B428DB))
     with np.errstate(over="ignore"):
-        while i < len(starts):
-            j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, "right")))
-            lo, hi = int(starts[i]), int(ends[j - 1])
-            up, down = powers(base, hi - lo + 1)
-            part = values[lo:hi]
-            prefix = np.empty(hi - lo + 1, np.uint64)
-            prefix[0] = 0
-            np.cumsum((BYTE_VALUE[part] if part.dtype == np.uint8 else part) * up[: hi - lo], out=prefix[1:])
-            a, b = starts[i:j] - lo, ends[i:j] - lo
-            out[i:j] = mix((prefix[b] - prefix[a]) * down[a] + (b - a).astype(np.uint64) * U64(0xA0761D6478BD642F))
-            i = j
+        for k in range(int(size.max(initial=0))):
+            live = np.flatnonzero(size > k) if (size <= k).any() else slice(None)
+            out[live] = mix((out[live] ^ values[starts[live] + k]) + U64(0xA0761D6478BD642F))
     return out
 
 
+#: A prime; sums of products modulo it have no structure that repetitive texts could cancel, as modulo 2**64 they have.
+PRIME = (1 << 31) - 1
+_P = U64(PRIME)
+_LANES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    return (x & _P) + (x >> U64(31))
+
+
+def _lane_powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo PRIME for i < n."""
+    have = _LANES.get(base)
+    if have is None or len(have[0]) < n:
+        size = 1 << max(20, n.bit_length())
+        made = []
+        for b in (base, pow(base, -1, PRIME)):
+            x = np.ones(1, np.uint64)
+            while len(x) < size:
+                x = np.concatenate((x, x * U64(pow(b, len(x), PRIME)) % _P))
+            made.append(x)
+        have = _LANES[base] = (made[0], made[1])
+    return have
+
+
+class Rolling:
+    """Hashes of spans of one block of 64-bit values: two polynomials modulo PRIME, one for each half of a value."""
+
+    def __init__(self, values: np.ndarray, salt: int):
+        self.sums, self.down = [], []
+        for lane in range(2):
+            up, down = _lane_powers(BASES[salt] >> (20 + 7 * lane) & 0x3FFFFFFF | 1, len(values) + 1)
+            half = values & _P if lane == 0 else values >> U64(33)
+            prefix = np.zeros(len(values) + 1, np.uint64)
+            np.cumsum(_fold(half * up[: len(values)]), out=prefix[1:])
+            self.sums.append(prefix)
+            self.down.append(down)
+
+    def spans(self, starts, ends, size=None) -> np.ndarray:
+        """62 bits of hash of each values[start:end]; slices of equal spans may be given instead of indexes."""
+        both = []
+        for prefix, down in zip(self.sums, self.down, strict=True):
+            x = _fold(_fold(prefix[ends] - prefix[starts]))
+            x = _fold(_fold(x * (down[: len(prefix)][starts])))
+            both.append(np.where(x >= _P, x - _P, x))
+        with np.errstate(over="ignore"):
+            out = (both[0] << U64(31)) | both[1]
+            if size is not None:
+                out = out + size.astype(np.uint64) * U64(0xA0761D6478BD642F)
+            return mix(out)
+
+
+def wide_hashes(values: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes, 124 bits together, of values[start:start + width]; the starts ascend."""
+    out = np.empty((2, len(starts)), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + BLOCK, "right")))
+        lo, hi = int(starts[i]), int(starts[j - 1]) + width
+        at = starts[i:j] - lo
+        for k in (0, 1):
+            out[k, i:j] = Rolling(values[lo:hi], k).spans(at, at + width)
+        i = j
+    return out[0], out[1]
+
+
 def gram_hashes(values: np.ndarray, n: int, base: int) -> np.ndarray:
-    """Hashes of all n-grams of one block of symbols (bytes or 64-bit word hashes)."""
+    """Hashes of all n-grams of one block of symbols (bytes or 64-bit word hashes); those of bytes for short n only."""
+    if values.dtype != np.uint8:
+        return Rolling(values, BASES.index(base)).spans(slice(0, len(values) - n + 1), slice(n, None))
     up, down = powers(base, len(values) + 1)
     count = len(values) - n + 1
     with np.errstate(over="ignore"):
         prefix = np.empty(len(values) + 1, np.uint64)
         prefix[0] = 0
-        np.cumsum((BYTE_VALUE[values] if values.dtype == np.uint8 else values) * up[: len(values)], out=prefix[1:])
+        np.cumsum(BYTE_VALUE[values] * up[: len(values)], out=prefix[1:])
         return mix((prefix[n:] - prefix[:count]) * down[:count])
 
 
@@ -159,13 +247,16 @@ def segments(values: np.ndarray, bounds: np.ndarray, window: int, gram: int) ->
         keep = inside[starts]
         starts, counts = starts[keep], counts[keep]
         if len(starts):
-            up, down = powers(BASES[2], len(block) + 1)
-            with np.errstate(over="ignore"):
-                prefix = np.empty(len(block) + 1, np.uint64)
-                prefix[0] = 0
-                np.cumsum((BYTE_VALUE[block] if block.dtype == np.uint8 else block) * up[: len(block)], out=prefix[1:])
-                stop = starts + counts + window - 1
-                whole = mix((prefix[stop] - prefix[starts]) * down[starts] + counts.astype(np.uint64))
+            stop = starts + counts + window - 1
+            if block.dtype != np.uint8:
+                whole = Rolling(block, 2).spans(starts, stop, counts)
+            else:
+                up, down = powers(BASES[2], len(block) + 1)
+                with np.errstate(over="ignore"):
+                    prefix = np.empty(len(block) + 1, np.uint64)
+                    prefix[0] = 0
+                    np.cumsum(BYTE_VALUE[block] * up[: len(block)], out=prefix[1:])
+                    whole = mix((prefix[stop] - prefix[starts]) * down[starts] + counts.astype(np.uint64))
             doc = docs[np.searchsorted(lo, starts + at, "right") - 1]
             yield grams[where[starts]], whole, doc, starts + at - bounds[doc], counts
         at = end

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm._store import Table
+from larkspur.llm._store import Table, scratch
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -26,6 +26,11 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> Table:
     """(node, component): the smallest node reachable; only nodes that have a link, nulls and loops left out."""
+    with scratch():
+        return _components(links, a, b).keep()
+
+
+def _components(links: DataFrame, a: str, b: str) -> Table:
     start = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     now, before = Table(start, "links"), None
     mark = lambda t: tuple(t.read().agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -40,3 +45,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> Table:
     out = Table(table.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(table.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
     now.drop()
     return out
+
+
+def extended(known: Table, links: DataFrame, a: str = "a", b: str = "b") -> Table:
+    """The components of ``known`` after more links: only the components that these touch are worked on."""
+    with scratch():
+        own = known.read()
+        side = lambda c: own.select(F.col("node").alias(f"node_{c}"), F.col("component").alias(f"own_{c}"))
+        between = links.join(side(a), F.col(a) == F.col(f"node_{a}"), "left").join(side(b), F.col(b) == F.col(f"node_{b}"), "left")
+        between = between.select(F.coalesce(f"own_{a}", a).alias("a"), F.coalesce(f"own_{b}", b).alias("b")).distinct()
+        merged = components(between).read()
+        into = merged.select(F.col("node").alias("from"), F.col("component").alias("to"))
+        moved = own.join(into, F.col("component") == F.col("from"), "left").select("node", F.coalesce("to", "component").alias("component"))
+        return Table(moved.unionByName(merged).distinct(), "components").keep()
