@@ -3,21 +3,25 @@
 The tokenizer and tree builder follow the HTML rules that change the text: implied ends of p, li, dt, dd, option,
 tr, td, th and table sections, implied tr and tbody, raw text in script and style, void elements, unclosed tags and
 comments, character references. What stands in a table outside its cells and captions is fostered: it goes before
-the table. Hidden are head, script, style, template, noscript, elements with ``hidden`` or
-inline ``display:none`` or ``visibility:hidden``. The renderer keeps block spacing (a blank line around paragraphs and
-headings, a line for other blocks), list markers with indentation, preformatted text, and tables with cells aligned
-in columns.
+the table. Hidden are head, script, style, template, noscript, elements with ``hidden`` or inline ``display:none``
+whole, and the text of elements with inline ``visibility:hidden`` but for descendants made visible again. The renderer
+keeps block spacing (a blank line around paragraphs and headings, a line for other blocks), list markers with
+indentation, preformatted text, and tables with cells aligned in columns; a cell with ``colspan`` or ``rowspan`` takes
+its columns and rows.
 
-Work is row by row in Arrow batches, linear in the page; no shuffle. Depth is bounded by the page, not by the
-interpreter's stack: builder and renderer are loops.
+Work is row by row in Arrow batches, no shuffle. The time of a page is linear in its length and in that of the text
+that comes out (deep nesting indents and pads it): tokens are matched without backtracking, open elements are found
+by their tag and not by a walk down the stack, and builder and renderer are loops, so depth is bounded by the page.
 
 Defined results: null html gives null text, empty or invisible html ''; broken markup is text or ignored as a browser
-would; repeated rows get equal results; extra columns are not read.
+would, a tag that the page's end cuts off is dropped; numbers that are none or have over nine digits count as absent;
+repeated rows get equal results; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from html import unescape
 
 import pyarrow as pa
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm._frames import map_arrow
 
-TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|$))|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>|[^<]+|<", re.S)
+TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*+)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*+)((?>[^>=]++|=(?:\s*+(?:\"[^\"]*+\"|'[^']*+'))?+)*+)(>|\Z)|[^<]+|<", re.S)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 HIDDEN = frozenset("head script style template noscript title iframe noembed noframes datalist object audio video canvas".split())
@@ -46,67 +50,106 @@ CELL = frozenset("td th caption template".split())
 #: What a part leaves open of the table it starts in.
 STAY = {"tr": ("thead", "tbody", "tfoot"), "td": ("thead", "tbody", "tfoot", "tr"), "th": ("thead", "tbody", "tfoot", "tr"), "col": ("colgroup",)}
 SCOPE = frozenset("table td th caption button html template object".split())
-INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z]+)", re.I)
 ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?")
+NUMBER = re.compile(r"[ \t\n\r\f]*([+-]?[0-9]{1,9})(?![0-9])")
 WHITE = re.compile(r"[ \t\n\r\f]+")
+#: The bounds that HTML sets.
+COLSPAN, ROWSPAN = 1000, 65534
 
 
 class Node:
-    __slots__ = ("tag", "children", "hidden", "start")
+    __slots__ = ("tag", "children", "hidden", "start", "seen", "spans", "lines")
 
-    def __init__(self, tag: str, hidden: bool = False, start: int = 1):
-        self.tag, self.children, self.hidden, self.start = tag, [], hidden, start
+    def __init__(self, tag: str, hidden: bool = False, start: int = 1, seen: bool = True, spans: tuple[int, int] = (1, 1)):
+        self.tag, self.children, self.hidden, self.start, self.seen, self.spans = tag, [], hidden, start, seen, spans
+        self.lines: list[str] = []
+
+
+def number(text: str, default: int) -> int:
+    m = NUMBER.match(text)
+    return int(m[1]) if m else default
+
+
+class Stack:
+    """The open elements, and for each tag where they stand."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, at: int) -> None:
+        while len(self.nodes) > at:
+            self.places[self.nodes.pop().tag].pop()
+
+    def last(self, tags) -> int:
+        """Where the innermost of the tags stands, 0 if none is open."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+
+def attributes_of(text: str, tag: str, seen: bool) -> tuple[bool, int, bool, tuple[int, int]]:
+    """Whether the element is hidden, its list's first number, whether its text is seen, its column and row span."""
+    found: dict[str, str] = {}
+    for k, v in ATTRIBUTE.findall(text):
+        found.setdefault(k.lower(), v[1:-1] if v[:1] in ('"', "'") else v)
+    hidden = "hidden" in found or (tag == "input" and found.get("type", "").lower() == "hidden")
+    for k, v in STYLE.findall(found.get("style", "")):
+        if k.lower() == "display":
+            hidden = hidden or v.lower() == "none"
+        else:
+            seen = v.lower() not in ("hidden", "collapse")
+    start = number(found.get("start", ""), 1) if tag == "ol" else 1
+    spans = (1, 1)
+    if tag in ("td", "th"):
+        spans = (min(max(number(found.get("colspan", ""), 1), 1), COLSPAN), min(max(number(found.get("rowspan", ""), 1), 1), ROWSPAN))
+    return hidden, start, seen, spans
 
 
 def parse(page: str) -> Node:
     """The tree: nodes and strings."""
     root = Node("html")
-    stack = [root]
+    stack = Stack(root)
+    nodes = stack.nodes
     at, end = 0, len(page)
 
     def close(names: tuple[str, ...], barrier) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            tag = stack[i].tag
-            if tag in barrier:
+        while (i := stack.last(names)) > stack.last(barrier):
+            stack.cut(i)
+            if len(names) == 1 or stack.last(names) < max(1, i - 3):
                 break
-            if tag in names:
-                keep = any(stack[j].tag in names for j in range(max(1, i - 3), i)) if len(names) > 1 else False
-                del stack[i:]
-                if not keep:
-                    break
 
     def table_at(barrier: frozenset) -> int:
         """Where the innermost table stands on the stack, 0 if none does or the barrier is met first."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == "table":
-                return i
-            if stack[i].tag in barrier:
-                break
-        return 0
+        t = stack.last(("table",))
+        return t if t > stack.last(barrier) else 0
 
     def put(child) -> None:
         """Into the current node; what that cannot hold as part of a table goes before the table."""
-        if stack[-1].tag == "colgroup":
-            stack.pop()
-        t = table_at(CELL) if stack[-1].tag in GRID else 0
+        if nodes[-1].tag == "colgroup":
+            stack.cut(len(nodes) - 1)
+        t = table_at(CELL) if nodes[-1].tag in GRID else 0
         if t:
-            stack[t - 1].children.insert(-1, child)  # an open table is the last child
+            nodes[t - 1].children.insert(-1, child)  # an open table is the last child
         else:
-            stack[-1].children.append(child)
+            nodes[-1].children.append(child)
 
-    def push(tag: str, hidden: bool = False, start: int = 1) -> None:
-        node = Node(tag, hidden, start)
-        if tag in KEPT:
-            stack[-1].children.append(node)
+    def push(node: Node) -> None:
+        if node.tag in KEPT:
+            nodes[-1].children.append(node)
         else:
             put(node)
-        stack.append(node)
+        stack.push(node)
 
     while at < end:
         m = TOKEN.match(page, at)
         at = m.end()
         ended, tag = m[1], m[2]
         if tag is not None:
+            if not m[4]:
+                break  # cut off by the end
             tag = tag.lower()
             if tag in ("html", "body"):
                 if tag == "body":
@@ -114,58 +157,53 @@ def parse(page: str) -> Node:
                 continue
             t = table_at(frozenset(("template",))) if tag in PARTS else table_at(CELL) if tag in ("table", "form") else 0
             if t and tag in PARTS:
-                while t + 1 < len(stack) and stack[t + 1].tag in STAY.get(tag, ()):
+                while t + 1 < len(nodes) and nodes[t + 1].tag in STAY.get(tag, ()):
                     t += 1
-                del stack[t + 1 :]
+                stack.cut(t + 1)
             elif t and tag == "form":
                 put(Node("form"))  # empty: what follows it is the table's
                 continue
             elif t:
-                del stack[t:]  # a table directly in a table ends it
+                stack.cut(t)  # a table directly in a table ends it
             if tag in CLOSES and not (t and tag in PARTS):
                 close(CLOSES[tag], BARRIER.get(tag, TABLE if tag in ("tr", "td", "th", "thead", "tbody", "tfoot") else SCOPE))
-            if tag in ("tr", "td", "th") and not any(n.tag == "table" for n in stack):
+            if tag in ("tr", "td", "th") and not stack.last(("table",)):
                 continue  # cells outside a table are ignored
-            if tag == "tr" and stack[-1].tag == "table":
-                push("tbody")
-            elif tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-                if stack[-1].tag == "table":
-                    push("tbody")
-                push("tr")
+            if tag == "tr" and nodes[-1].tag == "table":
+                push(Node("tbody", seen=nodes[-1].seen))
+            elif tag in ("td", "th") and nodes[-1].tag in ("table", "tbody", "thead", "tfoot"):
+                if nodes[-1].tag == "table":
+                    push(Node("tbody", seen=nodes[-1].seen))
+                push(Node("tr", seen=nodes[-1].seen))
             attributes = m[3]
-            hidden, start = tag in HIDDEN, 1
+            node = Node(tag, tag in HIDDEN, seen=nodes[-1].seen)
             if attributes and not attributes.isspace():
-                found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
-                hidden = hidden or "hidden" in found or bool(INVISIBLE.search(found.get("style", ""))) or (tag == "input" and found.get("type", "").lower() == "hidden")
-                if tag == "ol" and found.get("start", "").lstrip("-").isdigit():
-                    start = int(found["start"])
+                hidden, node.start, node.seen, node.spans = attributes_of(attributes, tag, node.seen)
+                node.hidden = node.hidden or hidden
             if tag in VOID:
-                (stack[-1].children.append if tag in KEPT else put)(Node(tag, hidden))
+                (nodes[-1].children.append if tag in KEPT else put)(node)
                 continue
-            push(tag, hidden, start)
+            push(node)
             if tag in RAW:
-                close_tag = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                close_tag = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
                 body = page[at : close_tag.start() if close_tag else end]
                 at = close_tag.end() if close_tag else end
                 if body and tag == "textarea":
-                    stack[-1].children.append(unescape(body))
-                stack.pop()
+                    nodes[-1].children.append(unescape(body))
+                stack.cut(len(nodes) - 1)
         elif ended is not None:
             tag = ended.lower()
             if tag == "br":
                 put(Node("br"))
-            elif tag == "p" and not any(n.tag == "p" for n in stack):
+            elif tag == "p" and not stack.last(("p",)):
                 put(Node("p"))
             elif tag in ("html", "body"):
                 continue
             else:
                 barrier = ("html", "template") if tag == "table" else TABLE if tag in ("tr", "td", "th", "thead", "tbody", "tfoot") else SCOPE - {tag}
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in barrier:
-                        break
+                i = stack.last((tag,))
+                if i > stack.last(barrier):
+                    stack.cut(i)
         else:
             text = m[0]
             if text == "<" or text[0] != "<":
@@ -173,7 +211,7 @@ def parse(page: str) -> Node:
                 if text.strip(" \t\n\r\f"):
                     put(text)
                 else:
-                    stack[-1].children.append(text)
+                    nodes[-1].children.append(text)
     return root
 
 
@@ -184,7 +222,7 @@ class Page:
         self.lines: list[str] = []
         self.now: list[str] = []
         self.gap = 0  # line ends owed before the next text
-        self.indent = ""
+        self.indent = 0
         self.marker = ""
         self.space = False
 
@@ -213,7 +251,7 @@ class Page:
             if self.gap > 1 and self.lines:
                 self.lines.append("")
             self.gap = 0
-            self.now.append(self.indent[: len(self.indent) - len(self.marker)] + self.marker if self.marker else self.indent)
+            self.now.append(" " * (self.indent - len(self.marker)) + self.marker)
             self.marker = ""
 
     def line(self, gap: int) -> None:
@@ -229,47 +267,80 @@ class Page:
         return self.lines
 
 
-def table_rows(table: Node) -> tuple[list[list[list[str]]], list[list[str]]]:
-    """Rows of cells as lines, and the lines of captions."""
+def table_rows(table: Node) -> tuple[list[list[Node]], list[Node]]:
+    """Rows of cells, and the captions."""
     rows, captions, todo = [], [], [table]
     while todo:
-        node = todo.pop(0)
+        node = todo.pop()
         if isinstance(node, str) or node.hidden:
             continue
         if node.tag == "tr":
-            rows.append([lines_of(c.children) for c in node.children if isinstance(c, Node) and c.tag in ("td", "th") and not c.hidden])
+            rows.append([c for c in node.children if isinstance(c, Node) and c.tag in ("td", "th") and not c.hidden])
         elif node.tag == "caption":
-            captions.append(lines_of(node.children))
+            captions.append(node)
         elif node is table or node.tag in ("thead", "tbody", "tfoot"):
-            todo[0:0] = node.children
+            todo.extend(reversed(node.children))
     return rows, captions
 
 
 def table_lines(table: Node) -> list[str]:
+    """The table's lines, from its cells' lines. Only columns that a cell begins in are laid out."""
     rows, captions = table_rows(table)
-    out = [line for c in captions for line in c]
-    widths: list[int] = []
-    for row in rows:
-        for i, cell in enumerate(row):
-            if i == len(widths):
-                widths.append(0)
-            widths[i] = max(widths[i], max((len(x) for x in cell), default=0))
-    for row in rows:
-        for k in range(max((len(c) for c in row), default=0)):
-            out.append("  ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(row, widths, strict=False)).rstrip(" "))
+    out = [line for c in captions for line in c.lines]
+    placed: list[list[tuple[int, int, Node]]] = []  # row by row: first column, the column after the last, cell
+    taken: list[tuple[int, int, int]] = []  # columns of cells from rows above: first, after the last, row after the last
+    for y, row in enumerate(rows):
+        here, x = [], 0
+        if row:
+            taken = sorted(t for t in taken if t[2] > y)
+            k = 0
+            for cell in row:
+                while k < len(taken) and taken[k][0] <= x:
+                    x = max(x, taken[k][1])
+                    k += 1
+                here.append((x, x + cell.spans[0], cell))
+                x += cell.spans[0]
+            taken += [(a, b, y + c.spans[1]) for a, b, c in here if c.spans[1] > 1]
+        placed.append(here)
+    starts = sorted({a for row in placed for a, _, _ in row})
+    at = {x: i for i, x in enumerate(starts)}
+    widths = [0] * len(starts)
+    wide: list[tuple[int, int, int]] = []
+    for row in placed:
+        for a, b, cell in row:
+            i, j = at[a], bisect_left(starts, b)
+            need = max((len(x) for x in cell.lines), default=0)
+            if j == i + 1:
+                widths[i] = max(widths[i], need)
+            else:
+                wide.append((i, j, need))
+    for i, j, need in wide:  # the last of its columns holds what the others leave
+        widths[j - 1] = max(widths[j - 1], need - sum(widths[i : j - 1]) - 2 * (j - 1 - i))
+    for row in placed:
+        for k in range(max((len(c.lines) for _, _, c in row), default=0)):
+            parts, i = [], 0
+            for a, b, cell in row:
+                while i < at[a]:  # a cell of a row above stands here
+                    parts.append(" " * widths[i])
+                    i += 1
+                j = bisect_left(starts, b)
+                parts.append((cell.lines[k] if k < len(cell.lines) else "").ljust(sum(widths[i:j]) + 2 * (j - i - 1)))
+                i = j
+            out.append("  ".join(parts).rstrip(" "))
     return out
 
 
-def lines_of(children: list) -> list[str]:
-    """The visible lines of nodes."""
+def lines_of(parent: Node) -> list[str]:
+    """The visible lines of a node's children; cells within must have theirs."""
     page = Page()
     counters: list[list] = []  # open lists: kind, next number
-    todo: list = [(c, False) for c in reversed(children)]
+    todo: list = [(c, False, parent.seen) for c in reversed(parent.children)]
     pre = 0
     while todo:
-        node, leaving = todo.pop()
+        node, leaving, seen = todo.pop()
         if isinstance(node, str):
-            page.text(node, pre > 0)
+            if seen:
+                page.text(node, pre > 0)
             continue
         tag = node.tag
         if leaving:
@@ -280,10 +351,10 @@ def lines_of(children: list) -> list[str]:
             if tag == "li":
                 page.line(1)
                 page.marker = ""
-                page.indent = page.indent[: node.start]
+                page.indent = node.start
             elif tag in ("dd", "blockquote"):
                 page.line(1)
-                page.indent = page.indent[: node.start]
+                page.indent = node.start
             nested = tag in ("ul", "ol", "menu", "dir") and counters
             page.line(2 if tag in SPACED and not nested else 1)
             continue
@@ -306,7 +377,7 @@ def lines_of(children: list) -> list[str]:
             page.line(2)
             continue
         if tag not in BLOCK:
-            todo.extend((c, False) for c in reversed(node.children))
+            todo.extend((c, False, node.seen) for c in reversed(node.children))
             continue
         nested = tag in ("ul", "ol", "menu", "dir") and counters
         page.line(2 if tag in SPACED and not nested else 1)
@@ -319,19 +390,28 @@ def lines_of(children: list) -> list[str]:
             if counters and counters[-1][0] == "ol":
                 marker = f"{counters[-1][1]}. "
                 counters[-1][1] += 1
-            node.start = len(page.indent)
-            page.indent += " " * len(marker)
+            node.start = page.indent
+            page.indent += len(marker)
             page.marker = marker
         elif tag in ("dd", "blockquote"):
-            node.start = len(page.indent)
-            page.indent += "  "
-        todo.append((node, True))
-        todo.extend((c, False) for c in reversed(node.children))
+            node.start = page.indent
+            page.indent += 2
+        todo.append((node, True, node.seen))
+        todo.extend((c, False, node.seen) for c in reversed(node.children))
     return page.done()
 
 
 def render(page: str) -> str:
-    return "\n".join(lines_of(parse(page).children))
+    root = parse(page)
+    cells, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.tag in ("td", "th", "caption"):
+            cells.append(node)
+        todo.extend(c for c in node.children if isinstance(c, Node) and not c.hidden)
+    for cell in reversed(cells):  # inner ones first
+        cell.lines = lines_of(cell)
+    return "\n".join(lines_of(root))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
