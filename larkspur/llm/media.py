@@ -1,9 +1,10 @@
 """Operator 8, media columns: audio features of 8-bit samples.
 
-Bytes are stored as an unsigned 8-bit mono WAV, read back through its chunks, resampled by a polyphase filter,
-cut into overlapped frames for a log-mel filterbank, and segmented by energy with hysteresis. The features of a
-row are tensors of one fixed shape (FRAMES x MELS, the last padded) with the time span of each; ``tensor_column`` wraps
-them as an Arrow fixed-shape tensor array.
+Bytes are stored as an unsigned 8-bit mono WAV, read back through its chunks, resampled by a polyphase filter (5/8,
+five phases, centred so that the last sample counts as the first does), cut into overlapped frames for a log-mel
+filterbank, and segmented by energy with hysteresis. The features of a row are tensors of one fixed shape
+(FRAMES x MELS, the last padded) with the time span of each. They are stored as an Arrow stream with a fixed-shape
+tensor column and two columns of seconds, the segments in its metadata, and what is said of them is read from there.
 
 Each row is computed by itself in blocks of bounded size, so equal bytes give equal values wherever they stand, and
 no row count or text length changes the memory of a task beyond its text's own size.
@@ -26,8 +27,8 @@ from larkspur.llm._frames import documents, id_text, map_arrow
 from larkspur.llm._text import buffers
 
 UNIT, PAD = 576, b"\xff"
-RATE, UP, DOWN = 16_000, 1, 2
-FRAME, HOP, MELS, FRAMES = 256, 128, 20, 32
+RATE, UP, DOWN = 16_000, 5, 8
+FRAME, HOP, MELS, FRAMES = 256, 128, 20, 8
 TAPS = 32
 HIGH_DB, LOW_DB = 1.0, -1.0
 BLOCK = 1 << 16
@@ -67,10 +68,10 @@ def _filters(up: int, down: int) -> np.ndarray:
 
 
 def resample(x: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
-    """Polyphase: each output is one phase of the filter against TAPS inputs."""
+    """Polyphase: each output is one phase of the filter against the TAPS inputs around its time."""
     phases = _filters(up, down)
     n = (len(x) * up + down - 1) // down
-    padded = np.concatenate((np.zeros(TAPS - 1, np.float32), x, np.zeros(down + 1, np.float32)))
+    padded = np.concatenate((np.zeros(TAPS // 2 - 1, np.float32), x, np.zeros(TAPS // 2 + down + 1, np.float32)))
     windows = np.lib.stride_tricks.sliding_window_view(padded, TAPS)
     out = np.empty(n, np.float32)
     for r in range(up):
@@ -93,7 +94,8 @@ def _mel_bank(rate: float) -> np.ndarray:
 
 
 _BANK = _mel_bank(RATE * UP / DOWN)
-_WINDOW = np.hanning(FRAME).astype(np.float32)
+#: Without the zeros at its ends.
+_WINDOW = (np.sin(np.pi * (np.arange(FRAME) + 0.5) / FRAME) ** 2).astype(np.float32)
 
 
 def log_mel(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,48 +139,71 @@ def padded_payload(text: bytes) -> bytes:
     return text + PAD * (-len(text) % UNIT or (UNIT if not text else 0))
 
 
+def stored(tensors: np.ndarray, spans: np.ndarray, parts: list[tuple[int, int]]) -> bytes:
+    """An Arrow stream of one record batch: fixed-shape tensors, their first and last second; the segments as metadata."""
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(tensors.reshape(-1)), FRAMES * MELS)
+    tensor = pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS)), flat)
+    batch = pa.RecordBatch.from_arrays([tensor, pa.array(spans[:, 0]), pa.array(spans[:, 1])], names=["tensor", "start", "end"])
+    sink = pa.BufferOutputStream()
+    schema = batch.schema.with_metadata({"segments": ",".join(f"{a}-{b}" for a, b in parts)})
+    with pa.ipc.new_stream(sink, schema) as out:
+        out.write_batch(batch.cast(schema))
+    return sink.getvalue().to_pybytes()
+
+
+def loaded(features: bytes) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """The tensors, spans and segments of ``stored``."""
+    with pa.ipc.open_stream(features) as source:
+        table = source.read_all()
+    tensors = table.column("tensor").combine_chunks().to_numpy_ndarray()
+    spans = np.column_stack((table.column("start").to_numpy(), table.column("end").to_numpy()))
+    marks = table.schema.metadata[b"segments"].decode()
+    return tensors, spans, [tuple(map(int, x.split("-"))) for x in marks.split(",") if x]
+
+
 def described(tensors: np.ndarray, spans: np.ndarray, parts: list[tuple[int, int]]) -> str:
-    """A short form of the features: frames, each band's mean, the segments' spans."""
+    """A short form of the features: frames, each band's mean, a checksum of all values, the segments' frames."""
     frames = round(float(spans[-1, 1]) * RATE * UP / (HOP * DOWN))
     mean = tensors.reshape(-1, MELS)[:frames].mean(axis=0)
-    return f"{frames};" + ",".join(f"{x:.2f}" for x in mean.tolist()) + ";" + ",".join(f"{a}-{b}" for a, b in parts)
+    return f"{frames};" + ",".join(f"{x:.2f}" for x in mean.tolist()) + f";{zlib.crc32(np.ascontiguousarray(tensors).tobytes()):08x};" + ",".join(f"{a}-{b}" for a, b in parts)
 
 
-def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, media, tensors, spans, segments): the WAV, FRAMES * MELS floats each, seconds, seconds."""
-    seconds = HOP * DOWN / (RATE * UP)
+def media_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, payload, media, features): the payload as read back from the WAV, and the stored features."""
 
     def step(batch: pa.RecordBatch):
         data, bounds = buffers(batch.column(1))
         raw = data.tobytes()
         for k in range(batch.num_rows):
-            media = wav(padded_payload(raw[bounds[k] : bounds[k + 1]]))
-            tensors, spans, parts = analyse(read_wav(media)[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([media], pa.binary()), pa.array([tensors.reshape(len(tensors), -1).tolist()], pa.list_(pa.list_(pa.float32()))), pa.array([spans.tolist()], pa.list_(pa.list_(pa.float64()))), pa.array([[[a * seconds, b * seconds] for a, b in parts]], pa.list_(pa.list_(pa.float64())))], names=["doc_id", "media", "tensors", "spans", "segments"])
-
-    return map_arrow(id_text(docs, id_col, text_col), step, "doc_id long, media binary, tensors array<array<float>>, spans array<array<double>>, segments array<array<double>>")
+            text = raw[bounds[k] : bounds[k + 1]]
+            media = wav(padded_payload(text))
+            payload = read_wav(media)[1]
+            row = (pa.array([len(text)], pa.int64()), pa.array([payload], pa.binary()), pa.array([media], pa.binary()), pa.array([stored(*analyse(payload))], pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), *row], names=["doc_id", "n_bytes", "payload", "media", "features"])
 
+    return map_arrow(id_text(docs, id_col, text_col), step, "doc_id long, n_bytes long, payload binary, media binary, features binary")
 
-def tensor_column(tensors: pa.ListArray) -> pa.FixedShapeTensorArray:
-    """All tensors of a column of ``media_features``, as an Arrow fixed-shape tensor array."""
-    flat = tensors.flatten().flatten()
-    storage = pa.FixedSizeListArray.from_arrays(flat, FRAMES * MELS)
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS)), storage)
 
+def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, features)."""
 
-def op8_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     def step(batch: pa.RecordBatch):
         data, bounds = buffers(batch.column(1))
         raw = data.tobytes()
-        out: list[list] = [[] for _ in range(7)]
+        out: list[list] = [[] for _ in range(8)]
         for k in range(batch.num_rows):
             text = raw[bounds[k] : bounds[k + 1]]
             media = wav(padded_payload(text))
             payload = read_wav(media)[1]
-            row = (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), described(*analyse(payload)))
+            features = stored(*analyse(payload))
+            row = (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), described(*loaded(features)), features)
             for x, v in zip(out, row, strict=True):
                 x.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "features"])
 
-    return map_arrow(id_text(documents(spark, sf_dir)), step, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_arrow(id_text(docs, id_col, text_col), step, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, features binary")
+
+
+def op8_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(documents(spark, sf_dir))
