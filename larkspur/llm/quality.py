@@ -1,15 +1,19 @@
 """Operator 3, quality rules: line-first cleaning, DataFrame functions only.
 
-Each line is judged by itself: a line fails if it has symbols instead of punctuation (a tenth of its characters
-are of ``#*$%&|<>``), if it is navigation (three bars or more), or boilerplate (licence, cookie and sharing phrases,
-bare links). Left out, here as in the SQL: navigation without three bars (very short pieces and no sentence end, such
-as a menu split by spaces or dashes) and any rule on sentence-ending punctuation; such lines keep their characters.
-Failing lines and lines equal to an earlier one go;
-a document is kept if what is left is more than ``1 - max_loss`` of its characters. The base rules (word count and
-the share of words in repeated 8-word windows) reject before that.
+Each line is judged by itself. It fails
 
-Everything is one projection over the row: no shuffle, no Python. Long documents cost n log n in their words.
-Repeated windows are found by sorting the windows' 64-bit hashes with their positions, only where some repeat.
+- on punctuation, if it does not end a sentence (``TERMINAL``, closing quotes and brackets aside) or a tenth of its
+  characters or more are of ``#*$%&|<>``: menus, headings, tag clouds and cut-off pieces;
+- as navigation, if it has three bars or more, whatever its end;
+- as boilerplate, if it has a licence, cookie or sharing phrase or is a bare link.
+
+Failing lines and lines equal to an earlier one go; a document is kept if what is left is ``1 - max_loss`` of its
+characters or more. The base rules (word count and the share of words in repeated 8-word windows) reject before that.
+
+Everything is one projection over the row: no shuffle, no Python. Words are hashed once, and the hashes of pairs, of
+four and of eight words follow from these, so a window costs three hashes of two longs. Repeated windows are found by
+sorting the windows' hashes with their positions, only in texts where some repeat. Rules for symbols, phrases and links
+run over the lines of those texts alone that have one. Long documents cost n log n in their words.
 
 Defined results: null and empty texts have no words, fail the base rule (fewer than 20 words) and are not kept;
 repeated rows get equal results; extra columns are not read by the query and pass through ``clean_lines``.
@@ -28,6 +32,9 @@ BLANK = " \t\n\u000b\f\r"
 SPACES = "[ \\t-\\r]+"
 SYMBOLS = "#*$%&|<>"
 BOILERPLATE = ("licensed under", "released under", "all rights reserved", "cookie policy", "accept cookies", "privacy policy", "terms of use", "terms of service", "click here", "read more", "sign up", "subscribe", "copyright", "share this", "share on")
+#: Ends of sentences, and what may close after them.
+TERMINAL, CLOSING = ".!?…。！？؟।:;", ")]\"'»”’"
+LINKS = ("http://", "https://", "www.")
 MIN_WORDS, WINDOW, MAX_REPEAT, MAX_LOSS = 20, 8, 30, 0.5
 
 
@@ -45,15 +52,25 @@ def boilerplate(text: Column) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(x)) for x in BOILERPLATE])
 
 
-def line_fails(line: Column, suspect: Column) -> Column:
-    """One line, by itself; ``suspect``: whether its text has a boilerplate phrase anywhere."""
+def ends_sentence(line: Column) -> Column:
+    end = F.rtrim(line, F.lit(BLANK + CLOSING))
+    return reduce(lambda a, b: a | b, [F.endswith(end, F.lit(c)) for c in TERMINAL])
+
+
+def striking(text: Column) -> Column:
+    """Whether a text has anything that the rules beside the sentence's end look for."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in [*SYMBOLS, *LINKS]]) | boilerplate(text)
+
+
+def line_fails(line: Column) -> Column:
+    """One line, by itself."""
     bare = without(line, BLANK)
     symbols = F.length(bare) - F.length(without(bare, SYMBOLS))
     bars = F.length(line) - F.length(without(line, "|"))
-    return (symbols * 10 >= F.length(bare)) | (bars >= 3) | (suspect & boilerplate(line)) | line.rlike("^\\s*(https?://|www\\.)\\S+\\s*$")
+    return ~ends_sentence(line) | (symbols * 10 >= F.length(bare)) | (bars >= 3) | boilerplate(line) | line.rlike("^\\s*(https?://|www\\.)\\S+\\s*$")
 
 
-def repeated_words(hashes: Column, count: Column, window: int) -> Column:
+def repeated_words(hashes: Column, window: int) -> Column:
     """Words in windows that occur twice or more, from the array of the windows' hashes."""
     ordered = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     # a window repeats if a neighbour in hash order equals it
@@ -64,34 +81,40 @@ def repeated_words(hashes: Column, count: Column, window: int) -> Column:
     return F.aggregate(F.zip_with(starts, nexts, lambda a, b: F.least(b - a, F.lit(window))), F.lit(0), lambda total, x: total + x)
 
 
-def measured(docs: DataFrame, text: Column, name: str = "") -> DataFrame:
-    """The documents with the columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, loss."""
+def measured(docs: DataFrame, text: Column) -> DataFrame:
+    """The documents with the columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, left_chars."""
     taken = list(docs.columns)
-    words, lines, hashes = (fresh(x, taken) for x in ("q_words", "q_lines", "q_hashes"))
-    plain = fresh("q_text", taken)
-    blank_free, suspect = fresh("q_bare", taken), fresh("q_suspect", taken)
+    plain, words, lines, distinct, good, bare, strikes = (fresh(f"q_{x}", taken) for x in ("text", "words", "lines", "distinct", "good", "bare", "strikes"))
     df = docs.withColumn(plain, F.coalesce(text, F.lit("")))
-    df = df.withColumn(suspect, boilerplate(F.col(plain)))
     df = df.withColumn(words, F.array_remove(F.split(F.col(plain), SPACES), "")).withColumn(lines, F.filter(F.split(F.col(plain), "\n"), has_word))
-    df = df.withColumn(blank_free, without(F.col(plain), BLANK)).withColumn(hashes, windows_of(F.col(words)))
-    distinct = F.array_distinct(F.col(lines))
-    good = F.filter(distinct, lambda x: ~line_fails(x, F.col(suspect)))
-    left = F.aggregate(good, F.lit(0), lambda total, x: total + F.length(without(x, BLANK)))
+    df, hashes = window_hashes(df, words)
+    df = df.withColumn(bare, without(F.col(plain), BLANK)).withColumn(distinct, F.array_distinct(F.col(lines))).withColumn(strikes, striking(F.col(plain)))
+    # the lambdas see lines only: what they took from the text would be computed anew for each line
+    df = df.withColumn(good, F.when(F.col(strikes), F.filter(F.col(distinct), lambda x: ~line_fails(x))).otherwise(F.filter(F.col(distinct), ends_sentence)))
+    left = F.when(F.size(good) == F.size(lines), F.length(bare)).otherwise(F.length(without(F.array_join(F.col(good), ""), BLANK)))
     return df.withColumns(
         {
             "n_words": F.size(words).cast("long"),
-            "word_chars": F.length(blank_free).cast("long"),
-            "n_symbols": (F.length(blank_free) - F.length(without(F.col(blank_free), SYMBOLS))).cast("long"),
+            "word_chars": F.length(bare).cast("long"),
+            "n_symbols": F.when(F.col(strikes), F.length(bare) - F.length(without(F.col(bare), SYMBOLS))).otherwise(F.lit(0)).cast("long"),
             "n_dup_lines": (F.size(lines) - F.size(distinct)).cast("long"),
-            "n_repeat_words": F.when(F.size(F.array_distinct(F.col(hashes))) == F.size(hashes), F.lit(0)).otherwise(repeated_words(F.col(hashes), F.size(words), WINDOW)).cast("long"),
+            "n_repeat_words": F.when(F.size(F.array_distinct(F.col(hashes))) == F.size(hashes), F.lit(0)).otherwise(repeated_words(F.col(hashes), WINDOW)).cast("long"),
             "left_chars": left.cast("long"),
         }
-    ).drop(words, lines, hashes, plain, blank_free, suspect)
+    ).drop(plain, words, lines, distinct, good, bare, strikes, hashes)
 
 
-def windows_of(words: Column, window: int = WINDOW) -> Column:
-    """A 64-bit hash of each window of words."""
-    return F.when(F.size(words) < window, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(words) - (window - 1)), lambda i: F.xxhash64(F.slice(words, i, window))))
+def window_hashes(df: DataFrame, words: str) -> tuple[DataFrame, str]:
+    """Adds a column with a 64-bit hash of each window of WINDOW words, by doubling; and the column's name."""
+    name = fresh("q_hashes", df.columns)
+    df = df.withColumn(name, F.transform(F.col(words), lambda w: F.xxhash64(w)))
+    step = 1
+    while step < WINDOW:
+        before, name = name, fresh(f"q_hashes{step}", df.columns)
+        shorter = F.greatest(F.size(before) - step, F.lit(0))
+        df = df.withColumn(name, F.zip_with(F.slice(F.col(before), 1, shorter), F.slice(F.col(before), step + 1, shorter), lambda a, b: F.xxhash64(a, b))).drop(before)
+        step *= 2
+    return df, name
 
 
 def judged(df: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
@@ -105,7 +128,7 @@ def clean_lines(docs: DataFrame, text_col: str = "text", max_loss: float = MAX_L
     place = docs.columns.index(text_col)
     kept = judged(measured(scratch, F.col(f"c{place}")), max_loss).where("kept")
     lines = F.array_distinct(F.filter(F.split(F.col(f"c{place}"), "\n"), has_word))
-    cleaned = F.array_join(F.filter(lines, lambda x: ~line_fails(x, F.lit(True))), "\n")
+    cleaned = F.array_join(F.filter(lines, lambda x: ~line_fails(x)), "\n")
     return kept.select(*[(cleaned if i == place else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
@@ -125,7 +148,8 @@ c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT g.doc_id, g.i, unne
 u AS (SELECT DISTINCT doc_id, x FROM (SELECT doc_id, unnest(l) AS x FROM d)),
 b AS (SELECT doc_id, x, regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g') AS y FROM u),
 k AS (SELECT doc_id, sum(length(y)) AS n FROM b WHERE NOT (
-        length(regexp_replace(y, '[^#*$%&|<>]', '', 'g')) * 10 >= length(y) OR length(regexp_replace(x, '[^|]', '', 'g')) >= 3
+        NOT regexp_matches(x, '[.!?…。！？؟।:;][)\]"''»”’\x20\x09-\x0D]*$')
+        OR length(regexp_replace(y, '[^#*$%&|<>]', '', 'g')) * 10 >= length(y) OR length(regexp_replace(x, '[^|]', '', 'g')) >= 3
         OR regexp_matches(lower(x), 'licensed under|released under|all rights reserved|cookie policy|accept cookies|privacy policy|terms of (use|service)|click here|read more|sign up|subscribe|copyright|share (this|on)')
         OR regexp_matches(x, '^\s*(https?://|www\.)\S+\s*$')) GROUP BY doc_id),
 m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(bare) AS BIGINT) AS word_chars,

@@ -30,13 +30,45 @@ def test_quality_rules(docs, texts, nothing):
         assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(words), sum(map(len, words)), len(repeat))
         assert r.base_failed == (len(words) < 20 or 100 * len(repeat) > 30 * len(words))
         assert not (r.base_failed and r.kept)
-    assert got[(18, 18)].n_dup_lines == 1 and got[(16, 16)].kept and got[(0, 0)].kept
+    assert got[(18, 18)].n_dup_lines == 1 and not got[(16, 16)].kept and got[(16, 16)].left_chars == 0
     assert quality.clean_lines(docs).columns == docs.columns
     cleaned = {r.doc_id: r.text for r in quality.clean_lines(docs).collect()}
     assert "| x |" not in cleaned[18] and cleaned[18].count("line a b") == 1
     assert quality.clean_lines(nothing).count() == 0
 
 
+PROSE = "A sentence of some words stands here."
+
+
+@pytest.mark.parametrize(
+    "line,fails",
+    [
+        (PROSE, False), ("Home About Contact Login", True), ("Home - News - Help", True), ("One and some more | two.", False), ("a. | b. | c. | d.", True), ("A heading", True), ('He said: "Go."', False), ("完了しました。", False), ("(See above.)  ", False),
+        ("w@rd # $ % & * words.", True), ("All rights reserved.", True), ("Read MORE about it.", True), ("https://example.org/a.", True), ("see https://example.org/a now.", False), ("cut off in the", True), ("It costs $5 or more, some say.", False),
+    ],
+)
+def test_line_rules(spark, line, fails):
+    body = "\n".join(f"{PROSE} {k}." for k in range(5))
+    rows = spark.createDataFrame([(1, f"{body}\n{line}")], "doc_id long, text string")
+    got = quality.measured(rows, F.col("text")).first()
+    assert got.left_chars == got.word_chars - (len("".join(line.split())) if fails else 0)
+    assert quality.clean_lines(rows).first().text == (body if fails else f"{body}\n{line}")
+
+
+def test_document_that_loses_too_much_is_rejected(spark):
+    """At half of its characters and more left a document stays; columns named like the operator's own do not matter."""
+    keep, lose = " ".join(["words"] * 3 + [f"w{i}" for i in range(20)]) + ".", " ".join(f"x{i}" for i in range(20))
+    rows = spark.createDataFrame([(1, f"{keep}\n{lose}", 5), (2, f"{keep}\n{lose} {lose.replace("x", "yy")}", 5), (3, keep, 5), (4, lose, 5)], "doc_id long, text string, q_words int")
+    got = {r.doc_id: (r.kept, r.q_words) for r in quality.judged(quality.measured(rows, F.col("text"))).collect()}
+    assert got == {1: (True, 5), 2: (False, 5), 3: (True, 5), 4: (False, 5)}
+
+
+def test_long_repetitive_text(spark):
+    rows = spark.createDataFrame([(1, "a b c " * 100_000)], "doc_id long, text string")
+    got = quality.measured(rows, F.col("text")).first()
+    assert (got.n_words, got.n_repeat_words, got.n_dup_lines) == (300_000, 300_000, 0)
+
+
 def test_quality_is_native(spark, small):
     plan = registry.QUERIES["op3_line_quality"](spark, small)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
