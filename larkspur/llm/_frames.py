@@ -39,7 +39,7 @@ def ship(df: DataFrame) -> DataFrame:
 
 
 #: Bytes of a batch that an operator works on at once; bounds the memory of a Python worker.
-PIECE = 8 << 20
+PIECE = 4 << 20
 
 
 def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

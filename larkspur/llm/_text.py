@@ -19,8 +19,8 @@ _SEED = np.random.Generator(np.random.PCG64(20240229))
 BYTE_VALUE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 #: Odd bases, so that their powers can be inverted modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
-#: Longest run of symbols that is hashed at once; bounds the memory of one block.
-BLOCK = 1 << 19
+#: Longest run of symbols that is hashed at once; bounds the memory of one block and fits a CPU's cache.
+BLOCK = 1 << 17
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -132,7 +132,7 @@ def _lane_powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo PRIME for i < n."""
     have = _LANES.get(base)
     if have is None or len(have[0]) < n:
-        size = 1 << max(20, n.bit_length())
+        size = 1 << max(18, n.bit_length())
         made = []
         for b in (base, pow(base, -1, PRIME)):
             x = np.ones(1, np.uint64)

@@ -1,11 +1,17 @@
 """Operator 6, toxicity: noisy-channel deobfuscation, then a score of the restored text.
 
-Words that look disguised (letters mixed with digits or signs, a letter three times in a row, single letters set
-apart) are decoded: a lattice has for each character the letters it may stand for, a repeated letter may be dropped,
-separators vanish, and Viterbi search under a character trigram model finds the likeliest word. The trigrams are
-counted over all documents. The score comes from words and word beginnings that mark toxic texts, learnt from labelled
-rows outside the held-out quarter: each has the log ratio of its rates in toxic and clean texts, and a logistic
-regression turns a text's summed and largest ratios and its length into a probability.
+Words that look disguised (letters next to look-alike digits or signs, a letter three times in a row, letters with a
+mark between them as in ``stu-pid`` and ``st*pid``, single letters set apart) are decoded: a lattice has for each
+character the letters it may stand for, a repeated letter may be dropped, separators vanish, an asterisk is any letter
+or none, and Viterbi search under a character trigram model finds the likeliest word. The trigrams are counted over all
+documents, each by itself. What is scored is the restored text: a disguised token counts once, as its decoding or, if
+that scores higher, as its letters stand.
+
+The score comes from words and word beginnings that mark toxic texts, learnt from labelled rows outside the held-out
+quarter: each has the log ratio of its rates in toxic and clean texts, and a logistic regression turns a text's summed
+and largest ratios and its length into a probability. Words of any length can be marks; beginnings have SHORTEST to
+LONGEST letters. A doubled letter (``stuupid``) alone does not make a token look disguised, as most such words are not;
+it counts by what learnt beginning survives.
 
 The classifier is fitted on a bounded sample (FIT_TOXIC and FIT_CLEAN labelled rows, the smallest by a hash of doc_id);
 the trigram counts, and scoring, take all rows. What comes to the driver is bounded: 21,952 trigram counts and
@@ -43,15 +49,21 @@ LOW = np.arange(256, dtype=np.uint8)
 LOW[65:91] += 32
 LETTER = CODE > 0
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c"}
+#: A token with more asterisks than this has them as separators, not as letters.
+MASKS = 4
+ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in LEET]] = True
 _ASCII = np.zeros(256, bool)
 _ASCII[97:123] = _ASCII[65:91] = True
 _APART = np.zeros(256, bool)
 _APART[[ord(c) for c in " .-_*~"]] = True
-_SPACED = re.compile(r"(?<![A-Za-z0-9@$!|])[A-Za-z0-9@$!|](?:[ .\-_*~][A-Za-z0-9@$!|]){2,}(?![A-Za-z0-9@$])")
-_CORE = re.compile(r"^[^A-Za-z0-9@$!|+(]+|[^A-Za-z0-9@$]+$")
-SUBSTITUTED, DROPPED, KEPT = math.log(0.15), math.log(0.5), math.log(0.85)
+_BETWEEN = np.zeros(256, bool)
+_BETWEEN[[ord(c) for c in ".-_*~"]] = True
+_RUN = re.compile(rb"[a-z\x80-\xff]+")
+_SPACED = re.compile(rb"(?<![A-Za-z0-9@$!|])[A-Za-z0-9@$!|](?:[ .\-_*~][A-Za-z0-9@$!|]){2,}(?![A-Za-z0-9@$])")
+_CORE = re.compile(rb"^[^A-Za-z0-9@$!|+(]+|[^A-Za-z0-9@$]+$")
+SUBSTITUTED, DROPPED, KEPT, MASKED = math.log(0.15), math.log(0.5), math.log(0.85), math.log(0.5 / 26)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -67,9 +79,13 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(LETTERS**3, np.int64)
         for batch in batches:
-            data, _ = buffers(batch.column(0))
-            for at in range(0, max(len(data) - 2, 0), 1 << 20):
-                c = CODE[data[at : at + (1 << 20) + 2]]
+            data, bounds = buffers(batch.column(0))
+            size = np.diff(bounds)
+            size = size[size > 0]  # two boundaries before, between and after the texts: no trigram is of two of them
+            whole = np.zeros(len(data) + 2 * len(size) + 2, np.uint8)
+            whole[np.arange(len(data)) + 2 * np.repeat(np.arange(len(size)) + 1, size)] = CODE[data]
+            for at in range(0, len(whole) - 2 if len(size) else 0, 1 << 20):
+                c = whole[at : at + (1 << 20) + 2].astype(np.int64)
                 total += np.bincount((c[:-2] * LETTERS + c[1:-1]) * LETTERS + c[2:], minlength=LETTERS**3)
         used = np.flatnonzero(total)
         if len(used):
@@ -93,11 +109,12 @@ def log_model(counts: np.ndarray) -> np.ndarray:
 def decode(token: str, model: np.ndarray) -> str:
     """The likeliest word behind a disguised token."""
     beams: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    masks = token.count("*") <= MASKS
     for ch in token.lower():
-        options = [(ch, KEPT)] if "a" <= ch <= "z" else [(x, SUBSTITUTED) for x in LEET.get(ch, "")]
+        options = [(ch, KEPT)] if "a" <= ch <= "z" else [(x, MASKED) for x in ALPHABET] if ch == "*" and masks else [(x, SUBSTITUTED) for x in LEET.get(ch, "")]
         if not options:
             continue  # a separator
-        ahead: dict[tuple[int, int], tuple[float, str]] = {}
+        ahead: dict[tuple[int, int], tuple[float, str]] = {key: (p + DROPPED, text) for key, (p, text) in beams.items()} if ch == "*" else {}
         for (a, b), (p, text) in beams.items():
             for x, cost in options:
                 c = ord(x) - 96
@@ -132,36 +149,47 @@ def letter_runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def suspects(data: np.ndarray, bounds: np.ndarray) -> dict[int, set[str]]:
-    """The disguised tokens of each row."""
+def suspects(data: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, bytes]]:
+    """The disguised tokens: row, first byte, byte after the last, the token without what stands around or between."""
     n = len(data)
-    if n < 3:
-        return {}
+    if n < 2:
+        return []
     letter, sign = _ASCII[data], _SIGN[data]
     hit = np.zeros(n, bool)
     hit[:-1] |= (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])
     low = LOW[data]
     hit[:-2] |= (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]) & letter[:-2]
+    hit[:-2] |= letter[:-2] & _BETWEEN[data[1:-1]] & letter[2:]
     apart = _APART[data]
-    spaced = (letter | sign)[: n - 4] & apart[1 : n - 3] & (letter | sign)[2 : n - 2] & apart[3 : n - 1] & (letter | sign)[4:]
+    one = letter | sign
+    spaced = one[:-4] & apart[1:-3] & one[2:-2] & apart[3:-1] & one[4:] if n > 4 else np.zeros(0, bool)
     starts, ends, firsts = words(data, bounds)
     raw = data.tobytes()
-    out: dict[int, set[str]] = {}
+    out: list[tuple[int, int, int, bytes]] = []
+    for doc in np.unique(np.searchsorted(bounds, np.flatnonzero(spaced), "right") - 1).tolist():
+        lo = int(bounds[doc])
+        for m in _SPACED.finditer(raw[lo : bounds[doc + 1]]):
+            out.append((doc, lo + m.start(), lo + m.end(), re.sub(rb"[ .\-_*~]", b"", m[0])))
+    taken = np.array([x for _, a, b, _ in out for x in (a, b)], np.int64)
     at = np.unique(np.searchsorted(starts, np.flatnonzero(hit), "right") - 1)
+    at = at[at >= 0]
+    at = at[np.searchsorted(taken, starts[at], "right") % 2 == 0]  # not within one set apart
     for k, doc in zip(at.tolist(), (np.searchsorted(firsts, at, "right") - 1).tolist(), strict=True):
-        if k >= 0:
-            token = _CORE.sub("", raw[starts[k] : ends[k]].decode(errors="ignore"))
-            if any("a" <= c <= "z" for c in token.lower()):
-                out.setdefault(doc, set()).add(token)
-    for doc in np.unique(np.searchsorted(bounds, np.flatnonzero(spaced), "right") - 1).tolist():
-        for m in _SPACED.finditer(raw[bounds[doc] : bounds[doc + 1]].decode(errors="ignore")):
-            out.setdefault(doc, set()).add(re.sub(r"[ .\-_*~]", "", m[0]))
+        token = raw[starts[k] : ends[k]]
+        token = _CORE.sub(b"", token[1:] if token[:1] == b"(" and b")" in token else token)
+        if any(97 <= c <= 122 for c in token.lower()):
+            out.append((doc, int(starts[k]), int(ends[k]), token))
     return out
 
 
 def parts_of(word: bytes) -> list[bytes]:
     """The word itself, marked at its end, and its beginnings."""
-    return [word + b"$", *(word[:k] for k in range(SHORTEST, min(len(word), LONGEST) + 1))] if len(word) >= SHORTEST else []
+    return [word + b"$", *(word[:k] for k in range(SHORTEST, min(len(word), LONGEST) + 1))]
+
+
+def head_of(mark: bytes) -> int:
+    """The first four letters, fewer of a shorter word, as a number."""
+    return int.from_bytes(mark[:-1][:4] if mark.endswith(b"$") else mark[:4], "little")
 
 
 def marks(sample: DataFrame, weight: float) -> tuple[dict[bytes, float], float]:
@@ -233,7 +261,7 @@ class Model:
 
     def __init__(self, found: dict[bytes, float], base: float, characters: np.ndarray, last: np.ndarray | None = None):
         self.found, self.base, self.characters, self.last = found, base, characters, last
-        self.heads = np.unique(np.array([int.from_bytes(m[:4], "little") for m in found], np.uint32))
+        self.heads = np.unique(np.array([head_of(m) for m in found], np.uint32))
         self.known: dict[str, float] = {}
         self.words: dict[bytes, float] = {}
 
@@ -244,11 +272,13 @@ class Model:
             self.words[word] = max((self.found.get(p, 0.0) for p in parts_of(word)), default=0.0)
         return self.words[word]
 
-    def disguised(self, token: str) -> float:
+    def disguised(self, token: bytes) -> float:
+        """The highest ratio of the token's decodings and of its letters as they stand."""
         if token not in self.known:
             if len(self.known) > 200_000:
                 self.known.clear()
-            self.known[token] = max((self.ratio(w.encode()) for w in decodings(token, self.characters)), default=0.0)
+            readings = [w.encode() for w in decodings(token.decode(errors="ignore"), self.characters)]
+            self.known[token] = max(self.ratio(w) for w in [*readings, *_RUN.findall(token.lower())])
         return self.known[token]
 
     def inputs(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -259,18 +289,21 @@ class Model:
         starts, ends = letter_runs(lower, bounds)
         size = np.diff(np.searchsorted(starts, bounds))
         if len(self.heads):
-            long = ends - starts >= SHORTEST
-            starts, ends = starts[long], ends[long]
+            hidden = suspects(data, bounds)
+            if hidden:  # their letters do not count beside their decodings
+                spans = np.array(sorted((a, b) for _, a, b, _ in hidden)).ravel()
+                plain = np.searchsorted(spans, starts, "right") % 2 == 0
+                starts, ends = starts[plain], ends[plain]
             head = lower[starts].astype(np.uint32)
+            padded = np.append(lower, np.zeros(4, np.uint8))
             for k in (1, 2, 3):
-                head |= lower[starts + k].astype(np.uint32) << np.uint32(8 * k)
+                head |= np.where(starts + k < ends, padded[starts + k], 0).astype(np.uint32) << np.uint32(8 * k)
             near = np.flatnonzero(np.isin(head, self.heads))
             raw = lower.tobytes()
             found = [self.ratio(raw[a:b]) for a, b in zip(starts[near].tolist(), ends[near].tolist(), strict=True)]
             doc = np.searchsorted(bounds, starts[near], "right") - 1
-            more = [(d, self.disguised(token)) for d, tokens in suspects(data, bounds).items() for token in tokens]
-            doc = np.append(doc, np.array([d for d, _ in more], np.int64))
-            found = np.append(np.array(found, float), np.array([r for _, r in more], float))
+            doc = np.append(doc, np.array([d for d, _, _, _ in hidden], np.int64))
+            found = np.append(np.array(found, float), np.array([self.disguised(token) for _, _, _, token in hidden], float))
             np.add.at(total, doc, found)
             np.maximum.at(top, doc, found)
         return features(total, top, size)

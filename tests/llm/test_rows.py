@@ -113,10 +113,60 @@ def test_decoder_restores_words():
             assert word in toxicity.decodings(token, model)
 
 
+def paths(token, model):
+    """Every path of the lattice with its log probability, by enumeration."""
+    live = [((0, 0), 0.0, "")]
+    for ch in token.lower():
+        options = [(ch, toxicity.KEPT)] if "a" <= ch <= "z" else [(x, toxicity.MASKED) for x in toxicity.ALPHABET] if ch == "*" else [(x, toxicity.SUBSTITUTED) for x in toxicity.LEET.get(ch, "")]
+        if options:
+            ahead = [((k[1], ord(x) - 96), p + cost + model[k[0], k[1], ord(x) - 96], t + x) for k, p, t in live for x, cost in options]
+            ahead += [(k, p + cost + toxicity.DROPPED, t) for k, p, t in live for x, cost in options if k[1] == ord(x) - 96]
+            live = ahead + ([(k, p + toxicity.DROPPED, t) for k, p, t in live] if ch == "*" else [])
+    return sorted((p + model[k[0], k[1], 0], t) for k, p, t in live)
+
+
+def character_model(text):
+    counts = np.zeros(toxicity.LETTERS**3)
+    c = toxicity.CODE[np.frombuffer(text.encode(), np.uint8)]
+    np.add.at(counts, (c[:-2] * toxicity.LETTERS + c[1:-1]) * toxicity.LETTERS + c[2:], 1)
+    return toxicity.log_model(counts)
+
+
+@pytest.mark.parametrize("token", ["1d10t", "h311o", "wooorld", "st*pid", "s*u*d", "id.iot", "t|t|e", "a", "aa1", "@", "$$s"])
+def test_decoder_against_all_paths(token):
+    model = character_model(" stupid idiot moron hello world water little studs " * 50)
+    every = paths(token, model)
+    best = {t: p for p, t in every}
+    got = toxicity.decode(token, model)
+    assert math.isclose(best[got], every[-1][0], abs_tol=1e-9)
+
+
+def test_masked_and_broken_words_are_restored():
+    model = character_model(" stupid idiot moron hello world water " * 50)
+    for token, word in {"st*pid": "stupid", "stu-pid": "stupid", "id.iot": "idiot", "mor*n": "moron", "i*d*i*o*t*s*i*n": "idiotsin"}.items():
+        assert toxicity.decode(token, model) == word
+
+
+def found(raw):
+    return {token.decode() for _, _, _, token in toxicity.suspects(np.frombuffer(raw.encode(), np.uint8), np.array([0, len(raw.encode())]))}
+
+
 def test_suspects():
-    raw = "plain 1d10t, s t u p i d! wooord 2024 a b".encode()
-    found = toxicity.suspects(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
-    assert {"1d10t", "stupid", "wooord"} <= found and "2024" not in found and "plain" not in found
+    got = found("plain 1d10t, s t u p i d! wooord 2024 a b stu-pid (st*pid) é1a")
+    assert {"1d10t", "stupid", "wooord", "stu-pid", "st*pid"} <= got and not got & {"2024", "plain", "s", "a"}
+
+
+def test_a_disguised_token_counts_once():
+    """The restored text is scored: letters of a token do not count beside its decoding, short words count as others do."""
+    model = toxicity.Model({b"stupid$": 3.0, b"stup": 2.0, b"oaf$": 2.5}, 0.1, character_model(" stupid oaf idiot " * 50), np.ones(5))
+    total = lambda text: model.inputs(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))[0, 0]
+    assert [total(t) for t in ("stupid", "stupido", "stup1d", "stupid stup1d", "oaf", "loaf oafs", "0af", "o.a.f", "stu-pid", "fine")] == [3, 2, 3, 6, 2.5, 0, 2.5, 2.5, 3, 0]
+
+
+def test_trigrams_do_not_depend_on_partitions(spark):
+    docs = spark.createDataFrame([("abc",), ("",), (None,), ("b c",)] * 8, "text string")
+    counts = [toxicity.trigram_counts(docs.repartition(n)) for n in (1, 2, 12)]
+    assert (counts[0] == counts[1]).all() and (counts[0] == counts[2]).all() and counts[0].sum() == 8 * 5 * 2
 
 
 def test_toxicity_held_out(spark):
