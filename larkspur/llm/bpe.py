@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from larkspur.llm._frames import documents, id_text, map_arrow
 from larkspur.llm._text import buffers
 
-#: Distinct words that a worker keeps; when full, the table starts anew.
-TABLE_WORDS = 500_000
+#: Bytes of distinct words and ids that a worker keeps, with ENTRY for what Python adds to each; when full, the table starts anew.
+TABLE_BYTES, ENTRY = 96 << 20, 220
+#: Longer words (texts without spaces are one word) are encoded where they stand and not kept.
+LONG = 256
 CHUNK = 1 << 20
 _WHITE = rb"(?:[\t-\r\x1c- ]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)"
 _BROKEN = re.compile(b" " + _WHITE + b"|" + _WHITE + b" ")
@@ -56,6 +58,7 @@ class Codec:
         self.tokenizer.no_padding()
         self.first: dict[bytes, bytes] = {}
         self.later: dict[bytes, bytes] = {}
+        self.held = 0
         pieces = piece_table(path)
         size = max(pieces) + 1
         self.lengths = np.zeros(size, np.int64)
@@ -70,25 +73,27 @@ class Codec:
             _HELD[path] = Codec(path)
         return _HELD[path]
 
-    def learn(self, table: dict[bytes, bytes], new: list[bytes], lead: str) -> None:
+    def learn(self, table: dict[bytes, bytes], new: list[bytes], lead: str) -> list[bytes]:
+        """Adds words to a table; returns those that are too long to stay."""
         for word, got in zip(new, self.tokenizer.encode_batch([lead + w.decode() for w in new], add_special_tokens=False), strict=True):
-            table[word] = np.array(got.ids, "<u4").tobytes()
+            table[word] = ids = np.array(got.ids, "<u4").tobytes()
+            if len(word) <= LONG:
+                self.held += ENTRY + len(word) + len(ids)
+        return [w for w in new if len(w) > LONG]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.later) > TABLE_WORDS:
+        if self.held > TABLE_BYTES:
             self.later.clear()
-        if len(self.first) > TABLE_WORDS:
             self.first.clear()
+            self.held = 0
         parts = [split_words(t) for t in texts]
-        later = self.later
-        new = {w for p in parts for w in p[1:] if w not in later}
-        if new:
-            self.learn(later, list(new), " ")
-        new = {p[0] for p in parts if p[0] not in self.first}
-        if new:
-            self.learn(self.first, list(new), "")
-        return [self.first[p[0]] + b"".join([later[w] for w in p[1:]]) for p in parts]
+        first, later = self.first, self.later
+        passing = [(table, w) for table, new, lead in ((later, {w for p in parts for w in p[1:] if w not in later}, " "), (first, {p[0] for p in parts if p[0] not in first}, "")) if new for w in self.learn(table, list(new), lead)]
+        out = [first[p[0]] + b"".join([later[w] for w in p[1:]]) for p in parts]
+        for table, w in passing:
+            del table[w]
+        return out
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all pieces, end to end, and the end of each."""

@@ -315,3 +315,14 @@ def test_bpe_white_space(tokenizer):
         ids = np.frombuffer(codec.encode([text.encode()])[0], "<u4")
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
         assert codec.decode(ids)[0].tobytes() == text.encode()
+
+
+def test_word_table_is_bounded_in_bytes(monkeypatch):
+    """Texts without spaces are not kept; a full table starts anew; ids stay those of the library."""
+    monkeypatch.setattr(bpe, "TABLE_BYTES", 20_000)
+    codec = bpe.Codec(bpe.default_path())
+    texts = ["".join(chr(0x4E00 + (i * 7 + k) % 5000) for k in range(6000)) for i in range(5)] + [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(30)]
+    for t in texts:
+        assert codec.encode([t.encode()])[0] == np.array(codec.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        assert max(map(len, [*codec.first, *codec.later]), default=0) <= bpe.LONG
+        assert codec.held == sum(bpe.ENTRY + len(w) + len(i) for table in (codec.first, codec.later) for w, i in table.items()) < 20_000 + 40 * 300
