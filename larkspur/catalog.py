@@ -1,8 +1,9 @@
 """The catalog: tables as lists of immutable Parquet segments, views, functions, triggers, users and grants.
 
-A statement writes new segments and a new catalog; publishing it is one atomic rename of the manifest. Nothing that a
-DataFrame may still read is changed, so earlier results stay what they were. Folders and manifest go through
-Hadoop's file system, so the store may be local, HDFS or an object store.
+A statement writes new segments and a new catalog; publishing it adds the next version's manifest, which only one
+writer can, whatever process it runs in. Nothing that a DataFrame may still read is changed, so earlier results stay
+what they were. Folders and manifests go through Hadoop's file system: the store must be local or have a rename that
+fails where the target exists, as HDFS does; an object store without one is not safe for several writers.
 """
 
 from __future__ import annotations
@@ -10,16 +11,20 @@ from __future__ import annotations
 import copy
 import hashlib
 import json
+import re
 import secrets
 import threading
 import uuid
 from collections import defaultdict
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from larkspur.plans.lexer import SqlError
 
+#: A version's catalog; as many old ones stay for readers that are about to open them.
+MANIFEST, KEPT = re.compile(r"manifest-(\d+)\.json"), 20
 EMPTY = {"version": 0, "tables": {}, "indexes": {}, "views": {}, "functions": {}, "triggers": {}, "users": {}, "grants": [], "owners": {}}
 SPARK_TYPES = {"bigint": T.LongType(), "double": T.DoubleType(), "string": T.StringType()}
 
@@ -62,33 +67,58 @@ class Store:
         self.conf = spark.sparkContext._jsc.hadoopConfiguration()
 
     def _path(self, name: str):
-        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def versions(self) -> list[int]:
+        """The versions whose manifests are there, ascending."""
+        folder = self._path("")
+        fs = folder.getFileSystem(self.conf)
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted(int(m[1]) for n in names if (m := MANIFEST.fullmatch(n)))
 
     def load(self) -> dict:
-        path = self._path("manifest.json")
-        fs = path.getFileSystem(self.conf)
-        if not fs.exists(path):
-            return copy.deepcopy(EMPTY)
-        stream = fs.open(path)
-        try:
-            return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        while have := self.versions():
+            path = self._path(f"manifest-{have[-1]}.json")
+            try:
+                stream = path.getFileSystem(self.conf).open(path)
+            except Py4JJavaError:  # cleaned away meanwhile: there is a later one
+                if self.versions() == have:
+                    raise
+                continue
+            try:
+                return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            finally:
+                stream.close()
+        return copy.deepcopy(EMPTY)
 
     def publish(self, catalog: dict, expected: int) -> None:
-        """Replace the manifest in one step; another writer's version in between is a conflict."""
+        """Add the manifest of the next version in one step, if no other writer has: a link or rename that fails where
+        the name is taken, so of several drivers exactly one wins and the others have a conflict."""
+        conflict = "commit conflict: the database changed since this transaction began"
         if self.load()["version"] != expected:
-            raise SqlError("commit conflict: the database changed since this transaction began")
+            raise SqlError(conflict)
         catalog["version"] = expected + 1
-        temp, final = self._path(f"manifest-{uuid.uuid4().hex}.json"), self._path("manifest.json")
+        temp, final = self._path(f"temp-{uuid.uuid4().hex}.json"), self._path(f"manifest-{expected + 1}.json")
         fs = temp.getFileSystem(self.conf)
         out = fs.create(temp)
         out.write(bytearray(json.dumps(catalog, indent=1).encode()))
         out.close()
-        gateway = self.spark.sparkContext._gateway
-        options = gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.conf).rename(fs.makeQualified(temp), fs.makeQualified(final), options)
+        try:
+            if fs.getUri().getScheme() == "file":
+                local = lambda p: self.jvm.java.nio.file.Path.of(fs.makeQualified(p).toUri())
+                self.jvm.java.nio.file.Files.createLink(local(final), local(temp))
+            else:
+                options = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.conf).rename(fs.makeQualified(temp), fs.makeQualified(final), options)
+        except Py4JJavaError as error:
+            if "AlreadyExists" in error.java_exception.getClass().getName():
+                raise SqlError(conflict) from None
+            raise
+        finally:
+            fs.delete(temp, False)
+        old = self._path(f"manifest-{expected + 1 - KEPT}.json")
+        if expected + 1 > KEPT:
+            fs.delete(old, False)
 
     def write(self, df: DataFrame, table: dict) -> str:
         """A new segment, sorted or with a bloom filter as the table's indexes ask; its path below the root."""

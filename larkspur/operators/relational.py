@@ -49,10 +49,18 @@ def rank_without_order(kind: str) -> Column:
 COMPARE = {"=": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
 
 
-def bounds(other: DataFrame, column: str) -> DataFrame:
-    """One row: what a comparison with all or any of a column's values needs."""
-    c = F.col(column)
-    return other.agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"), F.count(F.lit(1)).alias("_n"), F.count(c).alias("_n_known"))
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, lengthened until no column of the frames has it in any case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def bounds(other: DataFrame, column: str, name: str) -> DataFrame:
+    """One row, a struct: what a comparison with all or any of a column's values needs."""
+    c = F.col(f"`{column}`")
+    return other.agg(F.struct(F.min(c).alias("lo"), F.max(c).alias("hi"), F.count(F.lit(1)).alias("n"), F.count(c).alias("known")).alias(name))
 
 
 def quantified(df: DataFrame, x: Column, op: str, other: DataFrame, column: str, every: bool) -> DataFrame:
@@ -61,21 +69,21 @@ def quantified(df: DataFrame, x: Column, op: str, other: DataFrame, column: str,
     Equality against any is a semi join and inequality against all an anti join; the ordered comparisons need only
     the column's smallest and largest value, one row, whatever its size.
     """
+    row, y = fresh("_row", df), fresh("_y", df)
+    b = F.col(row)
+    values = other.select(F.col(f"`{column}`").alias(y)).distinct()
     if op == "=" and not every:
-        return df.join(other.select(F.col(column).alias("_y")).distinct(), x == F.col("_y"), "left_semi")
+        return df.join(values, x == F.col(y), "left_semi")
     if op == "!=" and every:
-        mark = bounds(other, column).select((F.col("_n") > F.col("_n_known")).alias("_null"), "_n")
-        kept = df.join(other.select(F.col(column).alias("_y")).distinct(), x == F.col("_y"), "left_anti")
-        return kept.join(mark, (F.col("_n") == 0) | (~F.col("_null") & x.isNotNull()), "inner").drop("_null", "_n")
-    b = bounds(other, column)
-    known, some = F.col("_n") == F.col("_n_known"), F.col("_n_known") > 0
+        kept = df.join(values, x == F.col(y), "left_anti")
+        return kept.join(bounds(other, column, row), (b["n"] == 0) | ((b["n"] == b["known"]) & x.isNotNull()), "inner").drop(row)
     if every:
-        holds = {"=": (x == F.col("_lo")) & (x == F.col("_hi")), "<": x < F.col("_lo"), "<=": x <= F.col("_lo"), ">": x > F.col("_hi"), ">=": x >= F.col("_hi")}[op]
-        condition = (F.col("_n") == 0) | (known & holds)
+        holds = {"=": (x == b["lo"]) & (x == b["hi"]), "<": x < b["lo"], "<=": x <= b["lo"], ">": x > b["hi"], ">=": x >= b["hi"]}[op]
+        condition = (b["n"] == 0) | ((b["n"] == b["known"]) & holds)
     else:
-        holds = {"!=": (x != F.col("_lo")) | (x != F.col("_hi")), "<": x < F.col("_hi"), "<=": x <= F.col("_hi"), ">": x > F.col("_lo"), ">=": x >= F.col("_lo")}[op]
-        condition = some & holds
-    return df.join(b, condition, "inner").drop("_lo", "_hi", "_n", "_n_known")
+        holds = {"!=": (x != b["lo"]) | (x != b["hi"]), "<": x < b["hi"], "<=": x <= b["hi"], ">": x > b["lo"], ">=": x >= b["lo"]}[op]
+        condition = (b["known"] > 0) & holds
+    return df.join(bounds(other, column, row), condition, "inner").drop(row)
 
 
 def set_operation(kind: str, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -87,9 +95,18 @@ def set_operation(kind: str, left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def range_join(left: DataFrame, x: str, right: DataFrame, lo: str, hi: str, width: float) -> DataFrame:
-    """left.x BETWEEN right.lo AND right.hi, by an equality on cells of ``width`` instead of all pairs.
+    """left.x BETWEEN right.lo AND right.hi, by an equality on cells instead of all pairs.
 
-    Each interval is listed in every cell that it touches, so the plan is a hash or merge join on the cell.
+    Cells have levels, ``width`` times a power of two. An interval is listed at the level that fits it, in two cells at
+    most however wide it is, and a point once for each level that some interval has (a few; their list is the one thing
+    that comes to the driver), so the plan is a hash or merge join on level and cell.
     """
-    cells = right.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))))
-    return left.withColumn("_cell", F.floor(F.col(x) / width)).join(cells, "_cell").where(F.col(x).between(F.col(lo), F.col(hi))).drop("_cell")
+    level, cell = fresh("_level", left, right), fresh("_cell", left, right)
+    a, b, p = (F.col(f"`{c}`") for c in (lo, hi, x))
+    span = F.greatest((b - a) / width, F.lit(1.0))
+    cells = right.where(a <= b).withColumn(level, F.ceil(F.log2(span)).cast("int"))
+    levels = sorted(r[0] for r in cells.select(level).distinct().collect())
+    at = lambda value: F.floor(value / (F.lit(float(width)) * F.pow(F.lit(2.0), F.col(level))))
+    listed = cells.withColumn(cell, F.explode(F.sequence(at(a), at(b))))
+    points = left.withColumn(level, F.explode(F.array(*[F.lit(k) for k in levels]) if levels else F.array().cast("array<int>"))).withColumn(cell, at(p))
+    return points.join(listed, [level, cell]).where(p.between(a, b)).drop(level, cell)

@@ -203,25 +203,61 @@ class Emitter:
             return f"({self.filter(e.args[0], scope, ctes)} AND {self.filter(e.args[1], scope, ctes)})"
         if e.kind != "quantified":
             return self.truth(e, scope, ctes)
-        self.count += 1
-        s, c = f"_q{self.count}", f"_c{self.count}"
-        inner = f"SELECT 1 FROM (SELECT * FROM ({self.query(e.more['query'], scope, ctes)})) AS {s}({c}) WHERE"
-        test = f"{self.expr(e.args[0], scope, ctes)} {e.value} {s}.{c}"
+        x, op, inner, made = self.compared(e, scope, ctes)
+        if self.alone(made, ctes):
+            if op == "=" and not e.more["every"]:
+                return f"EXISTS ({inner} {x} = {made[1]})"
+            if op in ("<>", "!=") and e.more["every"]:
+                row = self.bounds(made)
+                return f"(NOT EXISTS ({inner} {x} = {made[1]}) AND ({row}.n = 0 OR ({row}.n = {row}.k AND {x} IS NOT NULL)))"
+            return self.by_bounds(x, op, e.more["every"], self.bounds(made))
+        test = f"{x} {op} {made[1]}"
         return f"(NOT EXISTS ({inner} NOT coalesce({test}, FALSE)))" if e.more["every"] else f"EXISTS ({inner} {test})"
 
-    def quantified(self, e: Expr, scope, ctes) -> str:
-        """Three-valued ANY and ALL as EXISTS: also right where the predicate is projected or negated."""
+    def compared(self, e: Expr, scope, ctes) -> tuple[str, str, str, tuple[str, str]]:
+        """The left side, the operator, a SELECT up to its condition over the subquery's rows, the subquery and its column."""
         self.count += 1
         s, c = f"_q{self.count}", f"_c{self.count}"
-        x, op = self.expr(e.args[0], scope, ctes), e.value
-        inner = f"(SELECT * FROM ({self.query(e.more['query'], scope, ctes)})) AS {s}({c})"
-        if e.more["every"]:
-            bad = f"EXISTS (SELECT 1 FROM {inner} WHERE NOT ({x} {op} {s}.{c}))"
-            unknown = f"EXISTS (SELECT 1 FROM {inner} WHERE ({x} {op} {s}.{c}) IS NULL)"
-            return f"(CASE WHEN {bad} THEN FALSE WHEN {unknown} THEN NULL ELSE TRUE END)"
-        good = f"EXISTS (SELECT 1 FROM {inner} WHERE {x} {op} {s}.{c})"
-        unknown = f"EXISTS (SELECT 1 FROM {inner} WHERE ({x} {op} {s}.{c}) IS NULL)"
-        return f"(CASE WHEN {good} THEN TRUE WHEN {unknown} THEN NULL ELSE FALSE END)"
+        made = self.query(e.more["query"], scope, ctes)
+        return self.expr(e.args[0], scope, ctes), e.value, f"SELECT 1 FROM (SELECT * FROM ({made})) AS {s}({c}) WHERE", (made, f"{s}.{c}")
+
+    def alone(self, made: tuple[str, str], ctes) -> bool:
+        """Whether the subquery needs no outer row."""
+        try:
+            self.schema_of(self.defined(made[0], ctes or {}))
+        except Exception:  # Spark finds a column that only the outer query has
+            return False
+        return True
+
+    @staticmethod
+    def bounds(made: tuple[str, str]) -> str:
+        """One row of what a comparison with all or any of the values needs: rows, known values, least, greatest."""
+        return f"(SELECT struct(count(*) AS n, count(c) AS k, min(c) AS lo, max(c) AS hi) FROM (SELECT * FROM ({made[0]})) AS b(c))"
+
+    @staticmethod
+    def by_bounds(x: str, op: str, every: bool, row: str) -> str:
+        """Ordered comparisons, and those that equality decides by both bounds, three-valued, without pairs."""
+        op = "<>" if op == "!=" else op
+        lo, hi = f"{row}.lo", f"{row}.hi"
+        if every:
+            holds = {"=": f"({x} = {lo} AND {x} = {hi})", "<": f"({x} < {lo})", "<=": f"({x} <= {lo})", ">": f"({x} > {hi})", ">=": f"({x} >= {hi})"}[op]
+            return f"(CASE WHEN {row}.n = 0 THEN TRUE WHEN {row}.k > 0 AND NOT {holds} THEN FALSE WHEN {row}.n > {row}.k THEN NULL ELSE {holds} END)"
+        holds = {"<>": f"({x} <> {lo} OR {x} <> {hi})", "<": f"({x} < {hi})", "<=": f"({x} <= {hi})", ">": f"({x} > {lo})", ">=": f"({x} >= {lo})"}[op]
+        return f"(CASE WHEN {row}.n = 0 THEN FALSE WHEN {row}.k > 0 AND {holds} THEN TRUE WHEN {row}.n > {row}.k THEN NULL ELSE {holds} END)"
+
+    def quantified(self, e: Expr, scope, ctes) -> str:
+        """Three-valued ANY and ALL: also right where the predicate is projected or negated."""
+        x, op, inner, made = self.compared(e, scope, ctes)
+        every, equal, c = e.more["every"], (op == "=") != e.more["every"] and op in ("=", "<>", "!="), made[1]
+        if self.alone(made, ctes):
+            row = self.bounds(made)
+            if equal:  # = ANY, <> ALL
+                return f"(CASE WHEN EXISTS ({inner} {x} = {c}) THEN {'FALSE' if every else 'TRUE'} WHEN {row}.n > {row}.k OR ({row}.n > 0 AND {x} IS NULL) THEN NULL ELSE {'TRUE' if every else 'FALSE'} END)"
+            return self.by_bounds(x, op, every, row)
+        unknown = f"EXISTS ({inner} ({x} {op} {c}) IS NULL)"
+        if every:
+            return f"(CASE WHEN EXISTS ({inner} NOT ({x} {op} {c})) THEN FALSE WHEN {unknown} THEN NULL ELSE TRUE END)"
+        return f"(CASE WHEN EXISTS ({inner} {x} {op} {c}) THEN TRUE WHEN {unknown} THEN NULL ELSE FALSE END)"
 
     def window(self, e: Expr, scope, ctes) -> str:
         name = e.value.value.upper()

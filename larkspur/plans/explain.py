@@ -30,9 +30,9 @@ def _nodes(plan, depth: int = 0):
 
 
 def analyze(df: DataFrame) -> str:
-    """Runs the query; each node with its rows and times."""
+    """Runs the query; each node with its rows and times. The rows are counted where they are made."""
     began = time.perf_counter()
-    rows = len(df.collect())
+    rows = df._jdf.queryExecution().toRdd().count()
     took = (time.perf_counter() - began) * 1000
     out = [f"{rows} rows in {took:.1f} ms"]
     for depth, node in _nodes(df._jdf.queryExecution().executedPlan()):

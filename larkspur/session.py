@@ -40,6 +40,8 @@ class Iterate(Leave):
 def default_root(spark: SparkSession) -> str:
     """A new database: in the cluster's shared folder, or in a temporary one where none is set."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share, or name the database's folder")
     return f"{shared.rstrip('/')}/larkspur-db-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="larkspur-db-")
 
 
@@ -348,8 +350,8 @@ class Session:
         if df.limit(1).count():
             raise SqlError(what)
 
-    def check(self, name: str, fresh: DataFrame, whole: DataFrame) -> None:
-        """Constraints of changed rows (``fresh``) within the table's new state (``whole``)."""
+    def check(self, name: str, fresh: DataFrame, rest: DataFrame) -> None:
+        """Constraints of changed rows (``fresh``) beside the table's unchanged rows (``rest``), which hold by themselves."""
         t = self.table(name)
         fresh.createOrReplaceTempView("_fresh")
         types = {f.name.lower(): f.dataType.simpleString() for f in fresh.schema}
@@ -358,13 +360,15 @@ class Session:
             if c["not_null"]:
                 self.must_be_empty(fresh.where(at.isNull()), f"NOT NULL: {name}.{c['name']}")
             if c["unique"]:
-                self.must_be_empty(whole.where(at.isNotNull()).groupBy(at).count().where("count > 1"), f"UNIQUE: {name}.{c['name']}")
+                unique, key = f"UNIQUE: {name}.{c['name']}", fresh.where(at.isNotNull()).select(at.alias("_key"))
+                self.must_be_empty(key.groupBy("_key").count().where("count > 1"), unique)
+                self.must_be_empty(rest.select(at.alias("_have")).join(key, F.col("_have") == F.col("_key"), "left_semi"), unique)
             for text in c["checks"]:
                 made = self.emitter.expr(Parser(text).expr(), [{"": types}])
                 self.must_be_empty(self.spark.sql(f"SELECT 1 FROM _fresh WHERE NOT ({made})"), f"CHECK: {text}")
             if c["references"]:
                 ref = c["references"]
-                parent = whole if ref["table"].lower() == name.lower() else self.rows(ref["table"])
+                parent = rest.unionByName(fresh) if ref["table"].lower() == name.lower() else self.rows(ref["table"])
                 keys = parent.select(F.col(f"`{ref['column']}`").alias("_key"))
                 self.must_be_empty(fresh.where(at.isNotNull()).join(keys, at == F.col("_key"), "left_anti"), f"FOREIGN KEY: {name}.{c['name']} refers to {ref['table']}.{ref['column']}")
 
@@ -407,7 +411,7 @@ class Session:
         segment = self.store.write(self.typed(t, df), t)
         fresh = self.store.read(t | {"segments": [segment]})
         count = fresh.count()
-        self.check(name, fresh, self.rows(name).unionByName(fresh))
+        self.check(name, fresh, self.rows(name))
         if count:
             t["segments"] = [*t["segments"], segment]
         self.sync()
@@ -437,7 +441,7 @@ class Session:
             rest = self.spark.sql(f"SELECT * FROM {quoted(key)} WHERE NOT coalesce({cond}, FALSE)")
             keep = self.store.write(self.typed(t, rest), t)
             whole = self.store.read(t | {"segments": [keep, segment]})
-            self.check(s.table, fresh, whole)
+            self.check(s.table, fresh, self.store.read(t | {"segments": [keep]}))
             self.check_parents(s.table, whole)
             t["segments"] = [keep, segment]
             self.sync()
@@ -459,17 +463,21 @@ class Session:
     def remove(self, name: str, victims: DataFrame, rest: DataFrame) -> None:
         """Delete with cascades: all tables' remaining rows are found before anything is published.
 
-        Children lose the rows that refer to no remaining key; the loop ends when no table shrinks any more. RESTRICT
-        fails before the catalog changes.
+        Children lose the rows that refer to a key of the parent's lost rows that no remaining row has; the loop ends
+        when no table loses rows any more. RESTRICT fails before the catalog changes.
         """
         left = {name: self.settled(name, rest)}
-        todo = [name]
+        todo = [(name, victims)]
         while todo:
-            parent = todo.pop()
+            parent, gone = todo.pop()
             for child, c in self.children(parent):
                 now = left.get(child, self.rows(child))
                 at, ref = F.col(f"`{c['name']}`"), c["references"]["column"]
-                lost = self.rows(parent).select(F.col(f"`{ref}`").alias("_key")).join(left[parent].select(F.col(f"`{ref}`").alias("_have")), F.col("_key") == F.col("_have"), "left_anti").distinct()
+                lost = gone.select(F.col(f"`{ref}`").alias("_key")).where("_key is not null").distinct()
+                if not column_of(self.table(parent), ref)["unique"]:
+                    have = left[parent].select(F.col(f"`{ref}`").alias("_have"))
+                    still = have.join(lost, F.col("_have") == F.col("_key"), "left_semi").distinct()
+                    lost = lost.join(still, F.col("_key") == F.col("_have"), "left_anti")
                 hit = now.join(lost, at == F.col("_key"), "left_semi")
                 if not hit.limit(1).count():
                     continue
@@ -477,7 +485,7 @@ class Session:
                     raise SqlError(f"RESTRICT: {child}.{c['name']} refers to {parent}")
                 left[child] = self.settled(child, now.join(lost, at == F.col("_key"), "left_anti"))
                 self.store.locks.write(child.lower(), self.id)
-                todo.append(child)
+                todo.append((child, hit))
         for table, df in left.items():
             self.table(table)["segments"] = [df.larkspur_segment] if isinstance(df, _Kept) else []
         self.sync()
@@ -502,21 +510,24 @@ class Session:
             raise SqlError(f"a row needs {len(given)} values")
         sets = {column_of(t, c)["name"]: e.expr(x, scope) for c, x in s.sets}
         values = dict(zip(given, (e.expr(x, scope) for x in s.values), strict=True))
-        tagged = f"(SELECT *, monotonically_increasing_id() AS _row FROM {quoted(key)})"
-        rows = self.spark.sql(f"SELECT * FROM {tagged}")
-        marked = self.store.write(rows.toDF(*[f"c{i}" for i in range(len(names))], "_row"), {"indexes": []})
-        self.spark.read.parquet(f"{self.store.root}/{marked}").toDF(*names, "_row").createOrReplaceTempView("_target")
-        pairs = self.spark.sql(f"SELECT {quoted(target)}._row AS _row, count(*) AS n FROM _target AS {quoted(target)} JOIN {source} ON {on} GROUP BY 1")
-        self.must_be_empty(pairs.where("n > 1"), "MERGE: a target row matches several source rows")
-        update = ", ".join(f"CAST({sets[n]} AS {column_of(t, n)['type']}) AS {quoted(n)}" if n in sets else f"{quoted(target)}.{quoted(n)} AS {quoted(n)}" for n in names)
-        updated = self.spark.sql(f"SELECT {update} FROM _target AS {quoted(target)} JOIN {source} ON {on}")
-        kept = self.spark.sql(f"SELECT {', '.join(quoted(n) for n in names)} FROM _target AS {quoted(target)} WHERE NOT EXISTS (SELECT 1 FROM {source} WHERE {on})")
-        insert = ", ".join(f"CAST({values.get(n, 'NULL')} AS {column_of(t, n)['type']}) AS {quoted(n)}" for n in names)
-        inserted = self.spark.sql(f"SELECT {insert} FROM {source} WHERE NOT EXISTS (SELECT 1 FROM _target AS {quoted(target)} WHERE {on})")
-        fresh_segment = self.store.write(self.typed(t, updated.union(inserted)), t)
-        kept_segment = self.store.write(self.typed(t, kept), t)
+        # one full outer join, written once: target columns t0.., updated ones u0.., inserted ones v0.., and what matched
+        row, seen = f"_row_{self.id}", f"_seen_{self.id}"
+        rows = f"(SELECT *, monotonically_increasing_id() AS {row} FROM {quoted(key)}) AS {quoted(target)}"
+        tagged = f"(SELECT *, TRUE AS {seen} FROM {source}) AS {quoted(named)}"
+        kinds = [column_of(t, n)["type"] for n in names]
+        old = [f"{quoted(target)}.{quoted(n)} AS t{i}" for i, n in enumerate(names)]
+        update = [f"CAST({sets.get(n, f'{quoted(target)}.{quoted(n)}')} AS {kind}) AS u{i}" for i, (n, kind) in enumerate(zip(names, kinds, strict=True))]
+        insert = [f"CAST({values.get(n, 'NULL')} AS {kind}) AS v{i}" for i, (n, kind) in enumerate(zip(names, kinds, strict=True))]
+        joined = self.spark.sql(f"SELECT {', '.join(old + update + insert)}, {quoted(target)}.{row} AS at, coalesce({quoted(named)}.{seen}, FALSE) AS matched FROM {rows} FULL OUTER JOIN {tagged} ON {on}")
+        path = f"{self.store.root}/{self.store.write(joined, {'indexes': []})}"
+        made = self.spark.read.schema(joined.schema).parquet(path)
+        both = made.where("matched and at is not null")
+        self.must_be_empty(both.groupBy("at").count().where("count > 1"), "MERGE: a target row matches several source rows")
+        take = lambda df, x: df.select(*[F.col(f"{x}{i}").alias(n) for i, n in enumerate(names)])
+        fresh_segment = self.store.write(self.typed(t, take(both, "u").union(take(made.where("at is null"), "v"))), t)
+        kept_segment = self.store.write(self.typed(t, take(made.where("not matched"), "t")), t)
         fresh, whole = self.store.read(t | {"segments": [fresh_segment]}), self.store.read(t | {"segments": [kept_segment, fresh_segment]})
-        self.check(s.table, fresh, whole)
+        self.check(s.table, fresh, self.store.read(t | {"segments": [kept_segment]}))
         self.check_parents(s.table, whole)
         t["segments"] = [kept_segment, fresh_segment]
         self.sync()
