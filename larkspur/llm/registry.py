@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_debruijn_dedup": substring_dedup.SQL,
+    "op2_suffix_dedup": suffix_dedup.SQL,
     "op3_line_quality": quality.SQL,
     "op4_curriculum_mix": mixing.SQL,
     "op5_bottom_k_near": near_dedup.SQL,

@@ -298,3 +298,21 @@ def byte_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_byt
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_dedup(documents(spark, sf_dir))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+n AS (SELECT doc_id, x, CAST(length(x) // 2 AS BIGINT) AS n FROM d),
+p AS (SELECT doc_id, unnest(range(0, n - 99)) AS i, x FROM n WHERE n >= 100),
+g AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 200)) AS h FROM p),
+f AS (SELECT doc_id, i, min(struct_pack(a := doc_id, b := i)) OVER (PARTITION BY h) AS lo FROM g),
+r AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM f WHERE lo.a < doc_id OR lo.b < i),
+s AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM r),
+c AS (SELECT doc_id, k, min(i) AS a, max(i) + 100 AS b FROM s GROUP BY doc_id, k),
+e AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS prior FROM c),
+o AS (SELECT e.doc_id, CAST(sum(b - a) AS BIGINT) AS gone, count(*) AS spans, max(b) AS last,
+             string_agg(substr(x, 2 * prior + 1, 2 * (a - prior)), '' ORDER BY a) AS kept FROM e JOIN d USING (doc_id) GROUP BY e.doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM n LEFT JOIN o USING (doc_id)
+"""

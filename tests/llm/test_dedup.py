@@ -250,7 +250,7 @@ def test_empty_tables(nothing):
     assert near_dedup.near_duplicates(nothing).count() == 0
 
 
-@pytest.mark.parametrize("op", ["op1_debruijn_dedup", "op5_bottom_k_near"])
+@pytest.mark.parametrize("op", ["op1_debruijn_dedup", "op2_suffix_dedup", "op5_bottom_k_near"])
 def test_against_sql(spark, small, compare, op):
     from larkspur.llm import registry
 
