@@ -12,7 +12,11 @@ reaches 100 bytes are equal windows. At most 176 rounds, each linear in the bloc
 the steps are Spark's shuffle files and one written table.
 
 Hot keys: each map task keeps one run of equal ones and reports the others at once, so a bucket gets at most
-one row for each task and distinct run.
+one row for each task and distinct run. Minimizers that a sample of the documents (one in SAMPLE) has HOT times or more
+are split: their equal runs meet by the run's hash, and their different runs enter the construction by a longer key.
+A window holds the 38 bytes before its minimizer or the 38 after it, so each run is listed under the hash of either
+side with the minimizer, and equal windows share one of the two buckets. That is exact whatever the sample finds; a
+bucket of runs that share all of these 62 bytes stays whole.
 
 Defined results: null text has no bytes; a text under 100 bytes keeps all; a null doc_id is neither a source nor
 changed; rows that repeat a doc_id with equal text get equal results, as their starts are not earlier.
@@ -28,14 +32,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm._frames import documents, id_text, map_arrow, ship
-from larkspur.llm._store import Table
-from larkspur.llm._text import BASES, U64, buffers, covered, gram_hashes, segments
+from larkspur.llm._store import Table, scratch
+from larkspur.llm._text import BASES, U64, buffers, covered, gram_hashes, segments, word_hashes
 
 WINDOW = 100
 GRAM = 24
 #: Strings of one construction; bounds its memory, and buckets stay whole.
 BLOCK_STRINGS = 1 << 15
+#: One document in SAMPLE tells which minimizers are hot: those it has HOT times or more.
+SAMPLE, HOT = 64, 32
 RUNS = "key long, sh long, doc long, pos int, nw int"
+MET = f"{RUNS}, hot boolean"
 
 
 def _batch(names: str, *arrays) -> pa.RecordBatch:
@@ -74,31 +81,51 @@ def byte_runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return map_arrow(docs.where("doc_id is not null"), step, RUNS)
 
 
-def meet(runs: DataFrame) -> DataFrame:
-    """Within each minimizer's bucket: repeats of an equal earlier run (nw < 0), and one of each different run."""
+def hot_keys(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """The minimizers that a sample of the documents has often."""
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+    return byte_runs(some, window, gram).where("nw > 0").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT).select(F.col("key").alias("hot_key"))
+
+
+def meet(runs: DataFrame, hot: DataFrame) -> DataFrame:
+    """Within each minimizer's bucket: repeats of an equal earlier run (nw < 0), and one of each different run.
+
+    Of a hot minimizer, equal runs meet by their hash and each different run is kept.
+    """
+    marked = runs.join(hot, (F.col("key") == F.col("hot_key")) & (F.col("nw") > 0), "left").select("key", "sh", "doc", "pos", "nw", F.col("hot_key").isNotNull().alias("hot"))
 
     def run(batches):
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
-        key, sh, doc, pos, nw = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in parts]) for k in range(5))
+        key, sh, doc, pos, nw, split = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in parts]) for k in range(6))
         done = nw < 0
         if done.any():
-            yield _batch("key sh doc pos nw", key[done], sh[done], doc[done], pos[done], nw[done])
-        key, sh, doc, pos, nw = (x[~done] for x in (key, sh, doc, pos, nw))
+            yield _batch("key sh doc pos nw hot", key[done], sh[done], doc[done], pos[done], nw[done], split[done])
+        key, sh, doc, pos, nw, split = (x[~done] for x in (key, sh, doc, pos, nw, split))
         if not len(key):
             return
         order = np.lexsort((pos, doc, sh, key))
-        key, sh, doc, pos, nw = (x[order] for x in (key, sh, doc, pos, nw))
+        key, sh, doc, pos, nw, split = (x[order] for x in (key, sh, doc, pos, nw, split))
         bucket, first = _first_of_equal(key), _first_of_equal(key, sh)
         lead = np.flatnonzero(first)[np.cumsum(first) - 1]
         later = ~first & ((doc != doc[lead]) | (pos != pos[lead]))
         of = np.cumsum(bucket) - 1
-        different = first & (np.bincount(of, first)[of] > 1)
+        different = first & ((np.bincount(of, first)[of] > 1) | split)
         out = later | different
-        yield _batch("key sh doc pos nw", key[out], sh[out], doc[out], pos[out], np.where(later, -nw, nw)[out].astype(np.int32))
+        yield _batch("key sh doc pos nw hot", key[out], sh[out], doc[out], pos[out], np.where(later, -nw, nw)[out].astype(np.int32), split[out])
+
+    return ship(marked.repartition(F.when(F.col("hot"), F.xxhash64("key", "sh")).otherwise(F.col("key")))).mapInArrow(run, MET)
+
 
-    return ship(runs.repartition("key")).mapInArrow(run, RUNS)
+def longer_keys(data: np.ndarray, bounds: np.ndarray, counts: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(run, key): runs under the hash of their minimizer with half a window's rest before it, and with that after it."""
+    half = (window - gram) // 2
+    at = bounds[:-1] + aligned_at(data, bounds, counts, gram)
+    before = np.flatnonzero(at - half >= bounds[:-1])
+    after = np.flatnonzero(at + gram + half <= bounds[1:])
+    keys = np.concatenate((word_hashes(data, at[before] - half, at[before] + gram), word_hashes(data, at[after], at[after] + gram + half) ^ U64(0x5851F42D4C957F2D)))
+    return np.concatenate((before, after)), keys.view(np.int64)
 
 
 def run_bytes(joined: DataFrame, window: int, gram: int) -> DataFrame:
@@ -110,16 +137,23 @@ def run_bytes(joined: DataFrame, window: int, gram: int) -> DataFrame:
         at = lists.flatten()
         if not len(at):
             return None
-        key, pos, nw = (at.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+        key, pos, nw, split = (at.field(k).to_numpy(zero_copy_only=False) for k in range(4))
         count = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         doc = np.repeat(np.arange(batch.num_rows), count)
         start, size = bounds[doc] + pos, nw.astype(np.int64) + window - 1
         fits = start + size <= bounds[doc + 1]
-        key, pos, nw, doc, start, size = (x[fits] for x in (key, pos, nw, doc, start, size))
+        key, pos, nw, split, doc, start, size = (x[fits] for x in (key, pos, nw, split, doc, start, size))
         offsets = np.append(0, np.cumsum(size))
         source = np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])
-        binary = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[source].tobytes())])
+        joined_bytes = data[source]
+        binary = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(joined_bytes.tobytes())])
         ids = batch.column(0).to_numpy(zero_copy_only=False)[doc].astype(np.int64)
+        if split.any():
+            plain, hot = np.flatnonzero(~split), np.flatnonzero(split)
+            own = np.concatenate([np.arange(offsets[k], offsets[k + 1]) for k in hot])
+            row, keys = longer_keys(joined_bytes[own], np.append(0, np.cumsum(size[hot])), nw[hot].astype(np.int64), window, gram)
+            take = np.concatenate((plain, hot[row]))
+            key, ids, pos, nw, binary = np.concatenate((key[plain], keys)), ids[take], pos[take], nw[take], binary.take(pa.array(take))
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(pos), pa.array(nw), binary], names=["key", "doc", "pos", "nw", "bytes"])
 
     return map_arrow(joined, step, "key long, doc long, pos int, nw int, bytes binary")
@@ -248,9 +282,11 @@ def compare(strings: DataFrame, window: int, gram: int) -> DataFrame:
 
 def with_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, text, starts, sizes): each text with its runs of windows that stand earlier too (null: none)."""
-    met = Table(meet(byte_runs(docs, window, gram)), "byte-runs").read()
+    with scratch():
+        hot = Table(hot_keys(docs, window, gram), "hot-keys")
+        met = Table(meet(byte_runs(docs, window, gram), hot.read()), "byte-runs").keep().read()
     dealt = docs.repartition("doc_id")
-    wanted = met.where("nw > 0").groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("key", "pos", "nw")).alias("at"))
+    wanted = met.where("nw > 0").groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("key", "pos", "nw", "hot")).alias("at"))
     strings = run_bytes(dealt.join(wanted, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "at"), window, gram)
     spans = met.where("nw < 0").select("doc", "pos", (-F.col("nw")).alias("windows")).unionByName(compare(strings, window, gram))
     lists = spans.groupBy(F.col("doc").alias("of")).agg(F.collect_list("pos").alias("starts"), F.collect_list("windows").alias("sizes"))

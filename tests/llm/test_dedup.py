@@ -106,6 +106,22 @@ def test_bytes(docs, texts):
     assert rows(suffix_dedup.byte_dedup(docs)) == brute_bytes(texts, 100)
 
 
+@pytest.mark.parametrize("window,gram", [(100, 24), (40, 9)])
+def test_bytes_when_every_minimizer_is_hot(docs, texts, spark, monkeypatch, window, gram):
+    """Split buckets lose no repeat: all minimizers are taken as hot, and one has many different contexts."""
+    import random
+
+    rng = random.Random(4)
+    phrase = "all of these share this very phrase of some length "
+    more = [(5000 + i, "".join(rng.choice("ab ") for _ in range(120)) + phrase + "".join(rng.choice("ab ") for _ in range(120))) for i in range(60)]
+    more += [(6000 + i, t[rng.randint(0, 100) :]) for i, (_, t) in enumerate(more[:30])]
+    rows_ = [*texts, *more]
+    everything = spark.createDataFrame(rows_, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", 1)
+    monkeypatch.setattr(suffix_dedup, "HOT", 1)
+    assert rows(suffix_dedup.byte_dedup(everything, window, gram)) == brute_bytes(rows_, window)
+
+
 def test_bytes_with_content(docs, texts):
     for r in suffix_dedup.byte_dedup(docs, keep_bytes=True).collect():
         assert sha(bytes(r.kept)) == r.kept_sha256 and len(r.spans) == r.n_spans
