@@ -2,6 +2,11 @@
 
 Stages return the columns of ``documents``; the last returns one row for each training position with its token
 digests. Each stage works on all its predecessor kept.
+
+Defined results: null and empty texts are clean, no copies of anything, without repeats, and are never taken into the
+mix, so they have no row in the end; rows without a doc_id pass the first three stages and are mixed like any other;
+repeated rows are one document for toxicity and near duplicates and rows of their own in the mix; a null source
+is a source of its own; an empty table gives none; extra columns pass through to the mix, whatever their names.
 """
 
 from __future__ import annotations
@@ -71,6 +76,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: SQL cannot express the toxicity model or the tokenizer; tests/llm checks columns, ids and counts
-#: of the stages only; no test holds run() against a brute-force version yet.
+#: SQL cannot express the toxicity model or the tokenizer; tests/llm holds the stages and run() against a plain-Python
+#: version of them, which takes the toxicity predictions as given, on whole small tables and on edge rows.
 ORACLE_SQL = None
