@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm._frames import documents, id_text, ship
+from larkspur.llm._frames import documents, id_text, pieces, ship
 from larkspur.llm._store import Table
 from larkspur.llm._text import buffers, words
 
@@ -42,7 +42,7 @@ THRESHOLD = 0.3
 SHORTEST, LONGEST = 4, 8
 LETTERS = 28
 #: Code of each byte: 0 a boundary, 1 to 26 a letter, 27 a byte of another letter.
-CODE = np.zeros(256, np.int64)
+CODE = np.zeros(256, np.uint8)
 CODE[97:123] = CODE[65:91] = np.arange(1, 27)
 CODE[128:] = 27
 LOW = np.arange(256, dtype=np.uint8)
@@ -79,14 +79,16 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(LETTERS**3, np.int64)
         for batch in batches:
-            data, bounds = buffers(batch.column(0))
-            size = np.diff(bounds)
-            size = size[size > 0]  # two boundaries before, between and after the texts: no trigram is of two of them
-            whole = np.zeros(len(data) + 2 * len(size) + 2, np.uint8)
-            whole[np.arange(len(data)) + 2 * np.repeat(np.arange(len(size)) + 1, size)] = CODE[data]
-            for at in range(0, len(whole) - 2 if len(size) else 0, 1 << 20):
-                c = whole[at : at + (1 << 20) + 2].astype(np.int64)
-                total += np.bincount((c[:-2] * LETTERS + c[1:-1]) * LETTERS + c[2:], minlength=LETTERS**3)
+            for piece in pieces(batch):
+                data, bounds = buffers(piece.column(0))
+                full = np.flatnonzero(np.diff(bounds))
+                if not len(full):
+                    continue
+                # two boundaries before, between and after the texts: no trigram is of two of them
+                codes = np.insert(CODE[data], np.repeat(np.append(bounds[full], len(data)), 2), 0)
+                for at in range(0, len(codes) - 2, 1 << 18):
+                    c = codes[at : at + (1 << 18) + 2].astype(np.int32)
+                    total += np.bincount((c[:-2] * LETTERS + c[1:-1]) * LETTERS + c[2:], minlength=LETTERS**3)
         used = np.flatnonzero(total)
         if len(used):
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["code", "n"])
@@ -199,7 +201,7 @@ def marks(sample: DataFrame, weight: float) -> tuple[dict[bytes, float], float]:
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole)):
             seen: dict[bytes, list[int]] = {}
             data, bounds = buffers(batch.column(0))
             data = LOW[data]
@@ -322,8 +324,8 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
             if batch.num_rows:
                 data, bounds = buffers(batch.column(1))
                 got, i = np.empty(batch.num_rows), 0
-                while i < batch.num_rows:  # about 4 MB of text at once
-                    j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + (1 << 22), "right")) - 1)
+                while i < batch.num_rows:  # about 2 MB of text at once
+                    j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + (1 << 21), "right")) - 1)
                     got[i:j] = model.score(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
                     i = j
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(got, 9))], names=["doc_id", "score"])
@@ -336,9 +338,9 @@ def fitted_inputs(sample: DataFrame, model: Model) -> np.ndarray:
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                x = model.inputs(*buffers(batch.column(0)))
-                yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(x[:, i]) for i in range(x.shape[1]))], names=["y", "a", "b", "c", "d", "e"])
+            for piece in pieces(batch):
+                x = model.inputs(*buffers(piece.column(0)))
+                yield pa.RecordBatch.from_arrays([piece.column(1), *(pa.array(x[:, i]) for i in range(x.shape[1]))], names=["y", "a", "b", "c", "d", "e"])
 
     rows = ship(sample.select("text", "toxic")).mapInArrow(run, "y int, a double, b double, c double, d double, e double").collect()
     return np.array(sorted(tuple(map(float, r)) for r in rows)).reshape(len(rows), -1)
@@ -382,7 +384,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
                 data, bounds = buffers(batch.column(place))
                 keep, i = np.empty(batch.num_rows, bool), 0
                 while i < batch.num_rows:
-                    j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + (1 << 22), "right")) - 1)
+                    j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + (1 << 21), "right")) - 1)
                     keep[i:j] = model.score(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]) < THRESHOLD
                     i = j
                 yield batch.filter(pa.array(keep)).rename_columns(names)

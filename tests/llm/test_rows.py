@@ -105,7 +105,7 @@ def test_schedule_inverts(spark):
 def test_decoder_restores_words():
     counts = np.zeros(toxicity.LETTERS**3)
     text = np.frombuffer((" stupid idiot moron hello world water " * 50).encode(), np.uint8)
-    c = toxicity.CODE[text]
+    c = toxicity.CODE[text].astype(int)
     np.add.at(counts, (c[:-2] * toxicity.LETTERS + c[1:-1]) * toxicity.LETTERS + c[2:], 1)
     model = toxicity.log_model(counts)
     for token, word in {"1d10t": "idiot", "m0r0n": "moron", "st|_|pid": None, "iiidiiiot": "idiot", "h3ll0": "hello", "w@t3r": "water", "i-d-i-o-t": "idiot"}.items():
@@ -127,7 +127,7 @@ def paths(token, model):
 
 def character_model(text):
     counts = np.zeros(toxicity.LETTERS**3)
-    c = toxicity.CODE[np.frombuffer(text.encode(), np.uint8)]
+    c = toxicity.CODE[np.frombuffer(text.encode(), np.uint8)].astype(int)
     np.add.at(counts, (c[:-2] * toxicity.LETTERS + c[1:-1]) * toxicity.LETTERS + c[2:], 1)
     return toxicity.log_model(counts)
 
