@@ -49,6 +49,31 @@ def test_server(spark, tmp_path):
     server.shutdown()
 
 
+def test_server_sends_all_rows_and_takes_its_limits(spark, tmp_path):
+    """Results longer than a frame come whole; nonces and lock-outs last as long as the server is told."""
+    root = str(tmp_path / "db")
+    Session(spark, root).run("CREATE TABLE t (id INT); CREATE USER u IDENTIFIED BY 'p'; GRANT SELECT ON TABLE t TO u")
+    server = Server(spark, root, open=True, frame=3)
+    c = Client(server.start())
+    c.execute("INSERT INTO t VALUES " + ", ".join(f"({k})" for k in range(10)))
+    got = c.execute("SELECT id FROM t ORDER BY id")
+    assert [r[0] for r in got["rows"]] == list(range(10)) and got["more"] is False
+    assert c.execute("SELECT id FROM t WHERE id > 99") == {"columns": ["id"], "rows": [], "more": False}
+    with pytest.raises(SqlError):
+        c.execute("SELECT nothing FROM t")
+    assert c.execute("SELECT COUNT(*) AS n FROM t")["rows"] == [[10]]
+    c.close()
+    server.shutdown()
+    late = Server(spark, root, nonce_s=0, failures=1, locked_s=0)
+    d = Client(late.start())
+    with pytest.raises(SqlError, match="wrong"):
+        d.login("u", "p")
+    with pytest.raises(SqlError, match="wrong"):  # no longer locked out
+        d.login("u", "p")
+    d.close()
+    late.shutdown()
+
+
 def test_stream(spark, tmp_path):
     s = Session(spark)
     s.execute("CREATE TABLE t (id INT PRIMARY KEY, name VARCHAR)")
