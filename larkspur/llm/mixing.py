@@ -7,6 +7,8 @@ demand. A source's documents stand in the order of a hash of their doc_id and ar
 target is used up, the last one in part; the position of a document is the time at which the cumulative demand
 reaches it (the inverse of the integral), and the mix is the documents sorted by range of position.
 
+The table of sources, one row each, is ranked and filled in one task (some 50 bytes a source).
+
 Cumulative sums never gather a source in one task: words are summed by source and hash bucket first (4096
 buckets), the buckets' offsets are summed over that small table, and the last step runs within one bucket.
 
