@@ -28,8 +28,18 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+#: Most bytes of an Arrow batch between Spark and a Python worker; both hold several. Spark counts rows otherwise.
+BATCH = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(df: DataFrame) -> DataFrame:
-    """Let Python workers find this package where it stands (on a cluster without a shared disk: --py-files)."""
+    """Let Python workers find this package where it stands (on a cluster without a shared disk: --py-files), and get
+    batches of a bounded size, whatever the length of the texts."""
+    conf = df.sparkSession.conf
+    have = str(conf.get(BATCH_SETTING, "0"))
+    if not (have.isdigit() and 0 < int(have) <= BATCH):
+        conf.set(BATCH_SETTING, str(BATCH))
     root = str(Path(__file__).resolve().parents[2])
     env = df.sparkSession.sparkContext.environment
     have = env.get("PYTHONPATH", "").split(os.pathsep)

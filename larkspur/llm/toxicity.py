@@ -49,6 +49,8 @@ LOW = np.arange(256, dtype=np.uint8)
 LOW[65:91] += 32
 LETTER = CODE > 0
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c"}
+#: Words and tokens whose ratios a worker remembers.
+HELD = 50_000
 #: A token with more asterisks than this has them as separators, not as letters.
 MASKS = 4
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
@@ -269,7 +271,7 @@ class Model:
 
     def ratio(self, word: bytes) -> float:
         if word not in self.words:
-            if len(self.words) > 200_000:
+            if len(self.words) > HELD:
                 self.words.clear()
             self.words[word] = max((self.found.get(p, 0.0) for p in parts_of(word)), default=0.0)
         return self.words[word]
@@ -277,7 +279,7 @@ class Model:
     def disguised(self, token: bytes) -> float:
         """The highest ratio of the token's decodings and of its letters as they stand."""
         if token not in self.known:
-            if len(self.known) > 200_000:
+            if len(self.known) > HELD:
                 self.known.clear()
             readings = [w.encode() for w in decodings(token.decode(errors="ignore"), self.characters)]
             self.known[token] = max(self.ratio(w) for w in [*readings, *_RUN.findall(token.lower())])
