@@ -37,8 +37,8 @@ def ship(df: DataFrame) -> DataFrame:
     """Let Python workers find this package where it stands (on a cluster without a shared disk: --py-files), and get
     batches of a bounded size, whatever the length of the texts."""
     conf = df.sparkSession.conf
-    have = str(conf.get(BATCH_SETTING, "0"))
-    if not (have.isdigit() and 0 < int(have) <= BATCH):
+    have = conf.get(BATCH_SETTING).rstrip("b")  # bytes, as a user may have set it lower
+    if not have.isdigit() or int(have) > BATCH:
         conf.set(BATCH_SETTING, str(BATCH))
     root = str(Path(__file__).resolve().parents[2])
     env = df.sparkSession.sparkContext.environment
