@@ -45,6 +45,8 @@ def ship(df: DataFrame) -> DataFrame:
     have = env.get("PYTHONPATH", "").split(os.pathsep)
     if root not in have:
         env["PYTHONPATH"] = os.pathsep.join(x for x in [root, *have] if x)
+    for name in ("MALLOC_MMAP_THRESHOLD_", "MALLOC_TRIM_THRESHOLD_"):
+        env.setdefault(name, str(1 << 20))  # a worker gives large arrays back when they are freed
     return df
 
 
